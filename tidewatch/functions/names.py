@@ -35,9 +35,15 @@ def state_names(feature_cols: Sequence[str]) -> list[str]:
     return [f"{stat}_{f}" for stat in STATISTICS for f in feature_cols] + list(META_NAMES)
 
 
+def text_array(values: Sequence[str]) -> Column:
+    """Constant array of texts."""
+    cut = "\x1f"
+    return F.split(F.lit(cut.join(values)), cut)
+
+
 def dimension_name(names: Sequence[str], index: Column) -> Column:
     """Name of state dimension ``index`` (from 0); ``dim_<index>`` beyond the known ones."""
-    known = F.get(F.array(*[F.lit(n) for n in names]), index.cast("int"))
+    known = F.get(text_array(names), index.cast("int"))
     return F.coalesce(known, F.concat(F.lit("dim_"), index.cast("string")))
 
 

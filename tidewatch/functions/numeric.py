@@ -39,14 +39,15 @@ def clip(col: Column, low: float = -3.0, high: float = 3.0) -> Column:
 
 
 def double_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Constant array; one expression to parse instead of a call per number."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def scale_state(state: Column, mean: Column, scale: Column) -> Column:
     """Signed log, standardise and clip one state vector, in double precision."""
-    logged = F.transform(state, signed_log1p)
+    logged = F.transform(state, lambda x: signed_log1p(x))
     centred = F.zip_with(logged, mean, lambda x, m: x - m)
-    return F.transform(F.zip_with(centred, scale, lambda x, s: F.try_divide(x, s)), clip)
+    return F.zip_with(centred, scale, lambda x, s: clip(F.try_divide(x, s)))
 
 
 def as_float32(state: Column) -> Column:

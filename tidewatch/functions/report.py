@@ -24,6 +24,17 @@ def flag_status(is_attack: Column) -> Column:
     return F.when(is_attack, "Flagged").otherwise("Nominal")
 
 
-def percent_text(share: Column, places: int = 1) -> Column:
-    """Share as percent text without grouping commas."""
-    return F.concat(F.format_string(f"%.{places}f", share * 100.0), F.lit("%"))
+def percent_text(share: Column) -> Column:
+    """Share as percent text with one place, rounded on the exact binary value.
+
+    Twenty times the percentage is held as a sum and its rounding error, so a value just
+    below a tie (0.0015 is stored as less) is not taken for one.
+    """
+    percent = share * 100.0
+    big, small = percent * 16.0, percent * 4.0
+    total = big + small
+    lost = (big - (total - (total - big))) + (small - (total - big))
+    half_up = F.floor((total + 1.0) / 2.0)
+    just_below = (F.rint(total) == total) & (total % 2.0 == 1.0) & (lost < 0.0)
+    tenths = half_up - F.when(just_below, 1).otherwise(0)
+    return F.format_string("%d.%d%%", F.floor(tenths / 10), tenths % 10)

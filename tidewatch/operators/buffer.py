@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.timeparse import buffer_epoch, millisecond_text
-from tidewatch.plans.ordered import CHUNK_BITS, with_later_max
+from tidewatch.plans.ordered import CHUNK_BITS, SUMMARY_ROWS, with_later_max
 from tidewatch.schemas import BUFFER_KEY, BUFFER_RETENTION_SECONDS
 
 BUFFER_SCHEMA = "arrival_seq bigint, sensor string, ts_epoch double, _id string, payload string"
@@ -70,13 +70,14 @@ def survivors(
     retention: float = BUFFER_RETENTION_SECONDS,
     supplied_ids: bool = False,
     bits: tuple[int, ...] = CHUNK_BITS,
+    limit: int = SUMMARY_ROWS,
 ) -> DataFrame:
     """Rows still buffered after all inserts, in arrival order.
 
     ``supplied_ids``: flows bring their own ``_id``, so the same text can be inserted again
     and then only its last insert counts.
     """
-    kept = with_later_max(rows, [SENSOR], "arrival_seq", "ts_epoch", retention, bits)
+    kept = with_later_max(rows, [SENSOR], "arrival_seq", "ts_epoch", retention, bits, limit)
     kept = kept.drop("_reach")
     if not supplied_ids:
         return kept

@@ -34,7 +34,7 @@ def target_names(columns: Sequence[str], feature_cols: Sequence[str]) -> dict[st
     found: dict[str, str] = {}
     for column in columns:
         key = match_name(column)
-        target = wanted.get(ALIASES.get(key, key))
+        target = wanted.get(ALIASES.get(key, key), column if column in feature_cols else None)
         if target is None:
             continue
         if target in found.values():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.names import match_name, state_names
+from tidewatch.functions.names import match_name, state_names, text_array
 from tidewatch.operators.flows import TIME_COLUMN
 
 HIGH_PORT_ABOVE = 1024
@@ -141,7 +141,7 @@ def window_states(
 
 def state_dimensions(states: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     """Long form of the state vectors: one row per dimension, with its name."""
-    names = F.array(*[F.lit(n) for n in state_names(feature_cols)])
+    names = text_array(state_names(feature_cols))
     keep = [c for c in states.columns if c != "state"]
     long = states.select(*keep, F.posexplode("state").alias("dim", "value"))
     return long.withColumn("feature", F.element_at(names, F.col("dim") + 1))

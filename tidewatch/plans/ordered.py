@@ -12,32 +12,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.plans.materialize import broadcast_if_small, written
+from tidewatch.plans.materialize import BROADCAST_BYTES, written, written_bytes
 
 # A chunk spans 2**20 positions; each further level joins 2**12 chunks, so the top level
 # has at most 2**19 rows per key for any non-negative 64-bit position.
 CHUNK_BITS = (20, 32, 44)
 
 
+# Summaries that one task may order by itself; beyond it they are chunked in turn.
+SUMMARY_ROWS = 1 << 19
+
+
 def chunk_later_max(
-    df: DataFrame, keys: Sequence[str], seq: str, value: str, bits: Sequence[int] = CHUNK_BITS
+    tops: DataFrame, keys: Sequence[str], bits: Sequence[int], limit: int = SUMMARY_ROWS
 ) -> DataFrame:
-    """Per (key, chunk): the largest ``value`` in all *later* chunks of the key.
+    """Per (key, chunk): the largest ``_top`` in all *later* chunks of the key.
 
-    Columns: keys, ``_chunk``, ``_later`` (null in the last chunk).
+    ``tops`` is a written table of ``_top`` per key and ``_chunk``. Columns: keys,
+    ``_chunk``, ``_later`` (null in the last chunk).
     """
-    keys = list(keys)
-    level = written(
-        df.groupBy(*keys, F.shiftright(seq, bits[0]).alias("_chunk")).agg(
-            F.max(value).alias("_top")
-        ),
-        "chunk-max",
-    )
-    levels = [level]
-    for low, high in zip(bits, bits[1:]):
-        up = F.shiftright("_chunk", high - low).alias("_chunk")
-        level = level.groupBy(*keys, up).agg(F.max("_top").alias("_top"))
-        levels.append(level)
+    levels, level = [tops], tops
+    if tops.count() > limit:
+        for low, high in zip(bits, bits[1:]):
+            up = F.shiftright("_chunk", high - low).alias("_chunk")
+            level = level.groupBy(*keys, up).agg(F.max("_top").alias("_top"))
+            levels.append(level)
 
     def after(*group: str) -> Column:
         later = Window.partitionBy(*keys, *group).orderBy(F.desc("_chunk"))
@@ -65,6 +64,7 @@ def with_later_max(
     value: str,
     drop_below: float | None = None,
     bits: Sequence[int] = CHUNK_BITS,
+    limit: int = SUMMARY_ROWS,
 ) -> DataFrame:
     """Add ``_reach``: the largest ``value`` among the key's rows at or after this one.
 
@@ -72,8 +72,13 @@ def with_later_max(
     before the sort, by their chunk's summary alone.
     """
     keys = list(keys)
-    later = broadcast_if_small(written(chunk_later_max(df, keys, seq, value, bits), "chunk-later"))
-    rows = df.withColumn("_chunk", F.shiftright(seq, bits[0])).join(later, [*keys, "_chunk"])
+    chunk = F.shiftright(seq, bits[0]).alias("_chunk")
+    tops = written(df.groupBy(*keys, chunk).agg(F.max(value).alias("_top")), "chunk-max")
+    later = chunk_later_max(tops, keys, bits, limit)
+    # One row per chunk in both, so the written table's size is the carry's, too.
+    if written_bytes(tops) <= BROADCAST_BYTES:
+        later = F.broadcast(later)
+    rows = df.withColumn("_chunk", chunk).join(later, [*keys, "_chunk"])
     if drop_below is not None:
         floor = F.col("_later") - drop_below
         rows = rows.filter(F.col("_later").isNull() | (F.col(value) >= floor))

@@ -11,6 +11,8 @@ SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.ansi.enabled": "true",
+    # Folder values such as scenario ids and slots are text, whatever they look like.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }
 
 # Settings for sessions built here; a cluster sets its own.

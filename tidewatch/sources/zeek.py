@@ -36,15 +36,20 @@ def positioned(text: DataFrame) -> DataFrame:
     )
 
 
-def read_log_lines(
-    spark: SparkSession, folder: str, logs: Sequence[str] = DEFAULT_LOGS
-) -> DataFrame:
-    """Lines of the named logs anywhere below ``folder``; absent logs give no rows."""
-    stems = ",".join(name.removesuffix(".log") for name in logs)
-    reader = spark.read.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "{" + stems + "}*.log*"
-    )
-    return positioned(reader.text(folder))
+def log_pattern(logs: Sequence[str] = DEFAULT_LOGS) -> str:
+    """File name pattern of the logs and their rotated copies."""
+    stems = [name.removesuffix(".log") for name in logs]
+    forms = [f"{stem}{form}" for stem in stems for form in (".log", ".*.log")]
+    return "{" + ",".join(forms + [f"{form}.gz" for form in forms]) + "}"
+
+
+LOG_FILES = log_pattern()
+
+
+def read_log_lines(spark: SparkSession, folder: str, pattern: str = LOG_FILES) -> DataFrame:
+    """Lines of the logs anywhere below ``folder``; absent logs give no rows."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return positioned(reader.option("pathGlobFilter", pattern).text(folder))
 
 
 def literal_split(text: Column, separator: Column) -> Column:
@@ -70,7 +75,7 @@ def header_states(lines: DataFrame) -> DataFrame:
     per_block = lines.groupBy("file", "block").agg(
         F.collect_list(F.when(is_directive, F.struct("pos", "value"))).alias("_h")
     )
-    opening = F.array(F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit("").alias("value")))
+    opening = F.array(F.struct(F.lit(-(1 << 62)).alias("pos"), F.lit("").alias("value")))
     marks = per_block.select(
         "file", "block", F.explode(F.concat(opening, F.col("_h"))).alias("_m")
     ).select("file", "block", "_m.*")

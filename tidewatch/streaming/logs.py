@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +10,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.normalize import all_events
 from tidewatch.operators.rotation import slot_date, slot_key
-from tidewatch.schemas import DEFAULT_LOGS, EVENT_ROTATION_MINUTES
-from tidewatch.sources.zeek import parse_log
+from tidewatch.schemas import EVENT_ROTATION_MINUTES
+from tidewatch.sources.zeek import LOG_FILES, parse_log
 
 
 def log_stream(
     spark: SparkSession,
     folder: str,
-    logs: Sequence[str] = DEFAULT_LOGS,
+    pattern: str = LOG_FILES,
     since: float | None = None,
 ) -> DataFrame:
     """Lines of closed log files as they appear. ``since`` (epoch seconds) skips files last
     changed before it, so a first start can begin at 'now'."""
-    stems = ",".join(name.removesuffix(".log") for name in logs)
-    reader = spark.readStream.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "{" + stems + "}*.log*"
-    )
-    lines = reader.text(folder).select(
+    reader = spark.readStream.option("recursiveFileLookup", "true")
+    lines = reader.option("pathGlobFilter", pattern).text(folder).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_modification_time").alias("modified"),

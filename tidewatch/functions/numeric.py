@@ -23,11 +23,32 @@ def safe_float(col: Column) -> Column:
     return F.when(~suffixed, text.try_cast("double"))
 
 
-def finite_or_zero(col: Column) -> Column:
-    """Null, NaN and both infinities become 0.0."""
-    return F.when(
-        col.isNull() | F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), F.lit(0.0)
-    ).otherwise(col)
+def clean_number(column: str, text: bool, factor: float | None = None) -> Column:
+    """Feature value of a column: unreadable, null, NaN and infinite numbers become 0.0.
+
+    One SQL text per feature, as wide records have dozens of them. ``factor`` converts units.
+    """
+    number = _number_sql(column, text, factor)
+    return F.expr(
+        f"CASE WHEN isnan({number}) OR abs({number}) = double('Infinity') THEN 0.0D "
+        f"ELSE coalesce({number}, 0.0D) END"
+    )
+
+
+def raw_number(column: str, text: bool, factor: float | None = None) -> Column:
+    """The number in a column, in converted units, without the cleaning."""
+    return F.expr(_number_sql(column, text, factor))
+
+
+def _number_sql(column: str, text: bool, factor: float | None) -> str:
+    name = "`" + column.replace("`", "``") + "`"
+    if text:
+        trimmed = f"trim(CAST({name} AS STRING))"
+        refused = f"{trimmed} RLIKE '(?i)[0-9.][df]$'"
+        number = f"CASE WHEN NOT {refused} THEN try_cast({trimmed} AS DOUBLE) END"
+    else:
+        number = f"CAST({name} AS DOUBLE)"
+    return f"({number} * {factor!r}D)" if factor else f"({number})"
 
 
 def signed_log1p(col: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.names import match_name
-from tidewatch.functions.numeric import finite_or_zero, safe_float
+from tidewatch.functions.numeric import clean_number, raw_number
 from tidewatch.functions.timeparse import FLOW_FORMATS, flow_time
 
 TIME_COLUMN = "Timestamp"
@@ -80,15 +80,13 @@ def align_flows(
             else:
                 value = flow_time(source, time_formats)
         else:
-            value = source
             scale_up = time_unit == "s" and is_span(column) and column not in keep_unit
-            if scale_up or target in features:
-                numeric = isinstance(types[column], T.NumericType)
-                value = source.cast("double") if numeric else safe_float(source)
-            if scale_up:
-                value = value * 1e6
+            text = not isinstance(types[column], T.NumericType)
+            factor = 1e6 if scale_up else None
             if target in features:
-                value = finite_or_zero(value)
+                value = clean_number(column, text, factor)
+            else:
+                value = raw_number(column, text, factor) if scale_up else source
         projected.append(value.alias(target))
     have = set(renamed.values())
     projected += [F.lit(0.0).alias(f) for f in feature_cols if f not in have]

@@ -95,28 +95,30 @@ class LinearScorer:
     def __call__(self, seq: Column, k_steps: int) -> Column:
         last = F.get(seq, F.size(seq) - 1).cast("array<double>")
         attack = double_array(self.attack)
-        classes = [double_array(c) for c in self.classes]
-
-        def ahead(steps: int) -> Column:
-            factor, added = 1.0, 0.0
-            for _ in range(steps):
-                factor, added = factor * self.decay, added * self.decay + self.drift
-            return F.transform(last, lambda v: v * F.lit(factor) + F.lit(added))
-
-        def outputs(state: Column) -> Column:
+        classes = F.array(*[double_array(c) for c in self.classes])
+        ahead = [(1.0, 0.0)]
+        for _ in range(k_steps):
+            factor, added = ahead[-1]
+            ahead.append((factor * self.decay, added * self.decay + self.drift))
+
+        def moved(by: Column) -> Column:
+            """State some steps on; ``by`` is (factor, addition) for that many steps."""
+            return F.transform(last, lambda v: v * F.get(by, F.lit(0)) + F.get(by, F.lit(1)))
+
+        def outputs(by: Column) -> Column:
+            state = moved(by)
             return F.struct(
                 (_dot(state, attack) + F.lit(self.attack_bias)).alias("logit"),
-                F.array(*[_dot(state, c) for c in classes]).alias("class_logits"),
+                F.transform(classes, lambda w: _dot(state, w)).alias("class_logits"),
             )
 
         # The gradient of a weighted sum is its weights, at the last step only.
         importance = F.zip_with(
             last, attack, lambda v, w: F.abs(v * w) / F.size(seq).cast("double")
         )
+        steps = F.array(*[double_array(pair) for pair in ahead[:k_steps]])
         return F.struct(
-            ahead(1).alias("pred_state"),
-            F.array(*[outputs(last if j == 0 else ahead(j)) for j in range(k_steps)]).alias(
-                "steps"
-            ),
+            moved(double_array(ahead[1])).alias("pred_state"),
+            F.transform(steps, outputs).alias("steps"),
             importance.alias("importance"),
         )

@@ -21,9 +21,13 @@ def _feature_named(feature_cols: Sequence[str], key: str) -> str | None:
     return next((f for f in feature_cols if match_name(f) == key), None)
 
 
-def _whole(x: Column) -> Column:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _whole(feature: str) -> str:
     """Integer part; numbers beyond 64 bits share one value instead of failing the job."""
-    return F.coalesce(x.try_cast("bigint"), F.lit(-(2**63)))
+    return f"coalesce(try_cast({_quoted(feature)} AS BIGINT), bigint('{-(2**63)}'))"
 
 
 def _spread(std_mode: str, x: Column) -> Column:
@@ -45,28 +49,26 @@ def exploded_blocks(
     """
     port = _feature_named(feature_cols, "dstport")
     protocol = _feature_named(feature_cols, "protocol")
-    no_item = F.lit(None).cast("bigint")
-    none = F.lit(None).cast("double")
-
-    def block(number: int, item: Column, cells: Sequence[Column]) -> Column:
-        cells = list(cells) + [none] * (BLOCK - len(cells))
-        named = [c.alias(f"_x{j}") for j, c in enumerate(cells)]
-        return F.struct(F.lit(number).alias("_block"), item.alias("_item"), *named)
-
-    blocks = []
-    for start in range(0, len(feature_cols), BLOCK):
-        cells = [F.col(f"`{f}`") for f in feature_cols[start : start + BLOCK]]
-        blocks.append(block(start // BLOCK, no_item, cells))
+
+    def block(number: int, item: str | None, cells: Sequence[str]) -> str:
+        padded = [*cells, *["CAST(NULL AS DOUBLE)"] * (BLOCK - len(cells))]
+        named = ", ".join(f"'_x{j}', {c}" for j, c in enumerate(padded))
+        return f"named_struct('_block', {number}, '_item', {item or 'CAST(NULL AS BIGINT)'}, {named})"
+
+    blocks = [
+        block(start // BLOCK, None, [_quoted(f) for f in feature_cols[start : start + BLOCK]])
+        for start in range(0, len(feature_cols), BLOCK)
+    ]
     # The port row always exists: it also counts the window's flows and high ports.
     if port:
-        value = F.col(f"`{port}`")
-        high = F.when(value > HIGH_PORT_ABOVE, 1.0).otherwise(0.0)
-        blocks.append(block(-1, _whole(value), [high]))
+        high = f"CASE WHEN {_quoted(port)} > {HIGH_PORT_ABOVE} THEN 1.0D ELSE 0.0D END"
+        blocks.append(block(-1, _whole(port), [high]))
     else:
-        blocks.append(block(-1, no_item, [F.lit(0.0)]))
+        blocks.append(block(-1, None, ["0.0D"]))
     if protocol:
-        blocks.append(block(-2, _whole(F.col(f"`{protocol}`")), []))
-    exploded = flows.select(*group, F.explode(F.array(*blocks)).alias("_b"))
+        blocks.append(block(-2, _whole(protocol), []))
+    rows = F.expr("explode(array(" + ", ".join(blocks) + "))").alias("_b")
+    exploded = flows.select(*group, rows)
     return exploded.select(*[c for c in exploded.columns if c != "_b"], "_b.*")
 
 

@@ -69,18 +69,18 @@ def narrow_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as full 82-column flow records; numbers by formula from the event."""
     made = {
-        "src_ip": F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string")),
-        "dst_ip": F.lit("192.168.1.100"),
-        "src_port": 1024 + F.col("event_id") % 50000,
-        "dst_port": _port(),
-        "protocol": _protocol(),
-        "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        "src_ip": "concat('10.0.0.', string(user_id % 256))",
+        "dst_ip": "'192.168.1.100'",
+        "src_port": "1024 + event_id % 50000",
+        "dst_port": "port",
+        "protocol": "protocol",
+        "timestamp": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
     }
     for i, name in enumerate(FLOW_COLUMNS):
-        if name not in made:
-            made[name] = (F.col("event_id") * (i + 3) + F.col("user_id")) % 1009
-    return events(spark, sf_dir).select(
-        (F.col("user_id") % 4).alias("capture_id"), *[made[c].alias(c) for c in FLOW_COLUMNS]
+        made.setdefault(name, f"(event_id * {i + 3} + user_id) % 1009")
+    base = events(spark, sf_dir).withColumns({"port": _port(), "protocol": _protocol()})
+    return base.selectExpr(
+        "user_id % 4 AS capture_id", *[f"{made[c]} AS {c}" for c in FLOW_COLUMNS]
     )
 
 
@@ -160,7 +160,8 @@ def shuffled_arrival() -> Column:
 
 def jittered_arrival() -> Column:
     """Arrival order near time order, with neighbours swapped."""
-    return (F.col("event_id") + (F.col("event_id") * 7919) % 101) * (1 << 20) + F.col("event_id")
+    near = F.col("event_id") + (F.col("event_id") * 7919) % 101
+    return near * 128 + F.col("event_id") % 128
 
 
 # --- sensor logs --------------------------------------------------------------------
@@ -243,14 +244,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("event_id") / BLOCK_EVENTS).alias("block"),
     )
     piped = (F.col("log") == "ssl") & (F.col("block") >= 1)
-    separator = F.when(piped, "|").otherwise("\t")
-    line = F.lit(None).cast("string")
+    cases = []
     for log, fields in LOG_FIELDS.items():
-        cells = [F.expr(values[f]) for f in LOG_COMMON + fields]
-        short = F.when(F.col("event_id") % 17 == 0, F.lit(None)).otherwise(cells[-1])
-        extra = F.when(F.col("event_id") % 19 == 0, F.lit(""))
-        whole = F.call_function("concat_ws", separator, *cells[:-1], short, extra)
-        line = F.when(F.col("log") == log, whole).otherwise(line)
+        cells = [values[f] for f in LOG_COMMON + fields]
+        cells[-1] = f"CASE WHEN event_id % 17 = 0 THEN NULL ELSE {cells[-1]} END"
+        cells.append("CASE WHEN event_id % 19 = 0 THEN '' END")
+        cases.append(f"WHEN '{log}' THEN concat_ws(separator, {', '.join(cells)})")
+    base = base.withColumn("separator", F.when(piped, "|").otherwise("\t"))
+    line = F.expr(f"CASE log {' '.join(cases)} END")
     file = F.concat("log", F.lit("-"), (F.col("user_id") % 4).cast("string"))
     data = base.select(
         file.alias("file"), "block", (F.col("event_id") * 2).alias("pos"), line.alias("value")

@@ -156,7 +156,7 @@ SUMMARY = f"""SELECT capture_id, count(*) AS total_windows_evaluated,
 # --- rolling buffer -----------------------------------------------------------------
 
 SHUFFLED = f"((event_id * 7919) % 10007 * {1 << 40} + event_id)"
-JITTERED = f"((event_id + (event_id * 7919) % 101) * {1 << 20} + event_id)"
+JITTERED = "((event_id + (event_id * 7919) % 101) * 128 + event_id % 128)"
 WHOLE_SECOND = "CASE WHEN event_id % 3 = 2 THEN ts ELSE date_trunc('second', ts) END"
 EPOCH_TEXT = """concat(CAST(epoch_us(ts) // 1000000 AS VARCHAR), '.',
  lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0'))"""

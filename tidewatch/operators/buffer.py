@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.timeparse import buffer_epoch, millisecond_text
+from tidewatch.plans.materialize import computed_once
 from tidewatch.plans.ordered import CHUNK_BITS, SUMMARY_ROWS, with_later_max
 from tidewatch.schemas import BUFFER_KEY, BUFFER_RETENTION_SECONDS
 
@@ -42,15 +43,13 @@ def buffer_rows(
     columns = [c for c in flows.columns if c != "_id"]
     seq = F.monotonically_increasing_id() if seq is None else seq
     sensor = F.lit(BUFFER_KEY) if sensor is None else sensor
-    if timestamp is None:
-        if "timestamp" in flows.columns:
-            numeric = isinstance(flows.schema["timestamp"].dataType, T.NumericType)
-            timestamp = buffer_epoch(F.col("timestamp"), numeric, now)
-        else:
-            timestamp = buffer_epoch(F.lit(None).cast("string"), False, now)
-    staged = flows.withColumns(
-        {"_seq": seq, "_sensor": sensor, "_epoch": timestamp.cast("double")}
-    ).filter(~F.isnan("_epoch"))
+    if timestamp is None and "timestamp" in flows.columns:
+        numeric = isinstance(flows.schema["timestamp"].dataType, T.NumericType)
+        timestamp = buffer_epoch(F.col("timestamp"), numeric, now)
+    elif timestamp is None:
+        timestamp = buffer_epoch(F.lit(None).cast("string"), False, now)
+    staged = flows.withColumns({"_seq": seq, "_sensor": sensor})
+    staged = computed_once(staged, "_epoch", timestamp.cast("double")).filter(~F.isnan("_epoch"))
     made = _row_id(F.col("_seq"), F.col("_sensor"))
     own = F.coalesce(F.col("_id").cast("string"), made) if "_id" in flows.columns else made
     staged = staged.withColumn("_id", own)

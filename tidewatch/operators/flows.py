@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidewatch.functions.names import match_name
 from tidewatch.functions.numeric import clean_number, raw_number
 from tidewatch.functions.timeparse import FLOW_FORMATS, flow_time
+from tidewatch.plans.materialize import computed_once
 
 TIME_COLUMN = "Timestamp"
 # A column whose lower-cased name contains one of these holds a time span.
@@ -70,6 +71,7 @@ def align_flows(
     features = set(feature_cols)
     types = dict(zip(flows.columns, (f.dataType for f in flows.schema.fields)))
     projected = []
+    parsed_time = None
     for column in flows.columns:
         source = F.col(f"`{column}`")
         target = renamed.get(column, column)
@@ -78,7 +80,7 @@ def align_flows(
             if isinstance(types[column], (T.TimestampType, T.TimestampNTZType, T.DateType)):
                 value = source.cast("timestamp")
             else:
-                value = flow_time(source, time_formats)
+                parsed_time, value = flow_time(source, time_formats), source
         else:
             scale_up = time_unit == "s" and is_span(column) and column not in keep_unit
             text = not isinstance(types[column], T.NumericType)
@@ -90,6 +92,9 @@ def align_flows(
         projected.append(value.alias(target))
     have = set(renamed.values())
     projected += [F.lit(0.0).alias(f) for f in feature_cols if f not in have]
+    if parsed_time is not None:
+        column = next(c for c, t in renamed.items() if t == TIME_COLUMN)
+        flows = computed_once(flows, column, parsed_time)
     return flows.select(*projected).filter(F.col(TIME_COLUMN).isNotNull())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scorers import LinearScorer
+from tidewatch.plans.materialize import spread, written
 from tidewatch.schemas import FLOW_COLUMNS, FLOW_TEXT_COLUMNS
 from tidewatch.session import configure
 from tidewatch.sources.bundle import Bundle, seeded_lstm_weights
@@ -29,7 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    read = spread(table(spark, sf_dir, "events"))
+    return read.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _protocol() -> Column:
@@ -258,27 +260,29 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # One header per file, from its first event on; a second one for ssl files.
     first = base.groupBy(file.alias("file"), "log").agg(F.min("block").alias("block"))
-    tops = [_header(first.filter(F.col("log") == log), log, "\t", "-") for log in LOG_FIELDS]
     second = base.filter(piped).groupBy(file.alias("file"), "log").agg(F.lit(1).alias("block"))
-    tops.append(_header(second, "ssl", "|", "none"))
-    for top in tops:
-        data = data.unionByName(top)
-    return data.withColumn("block", F.col("block").cast("bigint"))
+    tops = _header(first, "\t", "-").unionByName(_header(second, "|", "none"))
+    lines = data.unionByName(tops).withColumn("block", F.col("block").cast("bigint"))
+    # Read twice by the parser, as log files would be.
+    return written(lines, "log-lines")
 
 
-def _header(files: DataFrame, log: str, separator: str, unset: str) -> DataFrame:
+def _header(files: DataFrame, separator: str, unset: str) -> DataFrame:
+    names = " ".join(
+        f"WHEN '{log}' THEN '{separator.join(LOG_COMMON + fields)}'"
+        for log, fields in LOG_FIELDS.items()
+    )
+    # With another separator than white space, the directive must still end as a word.
+    directive = "#fields" + (separator if separator.isspace() else " " + separator)
     lines = [
-        f"#separator \\x{ord(separator):02x}",
-        f"#set_separator{separator},".replace("|", " "),
-        "#empty_field (empty)",
-        f"#unset_field {unset}",
-        f"#path {log}",
-        separator.join(["#fields"] + LOG_COMMON + LOG_FIELDS[log]),
+        F.lit(f"#separator \\x{ord(separator):02x}"),
+        F.lit("#set_separator ,"),
+        F.lit("#empty_field (empty)"),
+        F.lit(f"#unset_field {unset}"),
+        F.concat(F.lit("#path "), "log"),
+        F.concat(F.lit(directive), F.expr(f"CASE log {names} END")),
     ]
-    if separator == "|":
-        # The fields line must start with its directive as a word.
-        lines[-1] = lines[-1].replace("#fields|", "#fields |", 1)
-    top = F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("n", "value")
+    top = F.posexplode(F.array(*lines)).alias("n", "value")
     # Header lines sort before the block's first event (position 2 * first event).
     return files.select("file", "block", top).select(
         "file",

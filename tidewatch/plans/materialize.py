@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import shared_dir
@@ -24,6 +24,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a read has fewer pieces than that; else ``df`` as it is.
+
+    A small table in one file would keep one core busy. Tables of a real size have more
+    pieces than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces < cores else df
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that later filters and projections must not repeat.
+
+    Catalyst moves a filter below a projection by copying the expression into it. It does
+    not do so for the output of a generator, so the value goes through a one-element
+    explode; that stays inside generated code and adds no rows.
+    """
+    return df.select(
+        *[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name)
+    )
+
+
 def written_bytes(df: DataFrame) -> int:
     """Size on disk of a table returned by :func:`written`, from the planner's own figure."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

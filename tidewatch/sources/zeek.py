@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.plans.materialize import broadcast_if_small, written
+from tidewatch.plans.materialize import broadcast_if_small, computed_once, written
 from tidewatch.schemas import DEFAULT_LOGS
 
 # Markers in force until a header line changes them.
@@ -117,11 +117,10 @@ def split_lines(lines: DataFrame) -> DataFrame:
     states = broadcast_if_small(written(header_states(lines), "log-headers"))
     data = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#"))
     in_force = (F.col("pos") >= F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))
-    return (
-        data.join(states, ["file", "block"])
-        .filter(in_force & F.col("fields").isNotNull() & (F.size("fields") > 0))
-        .withColumn("parts", literal_split(F.col("value"), F.col("separator")))
+    headed = data.join(states, ["file", "block"]).filter(
+        in_force & F.col("fields").isNotNull() & (F.size("fields") > 0)
     )
+    return computed_once(headed, "parts", literal_split(F.col("value"), F.col("separator")))
 
 
 def is_well_formed() -> Column:
@@ -149,4 +148,5 @@ def parse_log(lines: DataFrame) -> DataFrame:
     )
     # Spark plans a size check of its own, so unequal lengths must not reach the map.
     record = F.when(is_well_formed(), F.map_from_arrays("fields", cleaned))
-    return good.select("file", "block", "pos", "path", record.alias("rec"))
+    slim = good.select("file", "block", "pos", "path", "parts", "fields", "unset_field", "empty_field")
+    return computed_once(slim, "rec", record).select("file", "block", "pos", "path", "rec")

@@ -13,7 +13,7 @@ from tidewatch.operators.flows import (
 from tidewatch.operators.states import state_dimensions, window_states
 from tidewatch.schemas import FLOW_COLUMNS
 from tidewatch.sources.flow_csv import header_of, read_flow_csv, read_flows
-from tidewatch.sources.sinks import select_fields
+from tidewatch.sources.sinks import select_fields, write_captures
 
 FEATURES = ["Dst Port", "Protocol", "Flow IAT Mean", "CWE Flag Count", "Idle Mean"]
 TEXT = "capture_id string, timestamp string, dst_port string, protocol string, `Flow IAT Mean` string, cwr_flag_count string, note string"
@@ -182,3 +182,13 @@ def test_table_check(spark):
     got = {r["check"]: r.passed for r in check_flow_table(poor).collect()}
     assert got["column src_ip"] and not got["column dst_ip"] and not got["has data rows"]
     assert not got["at least 70 columns"]
+
+
+def test_one_output_per_capture_or_one_for_all(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1, 2), ("y", 3, 4)], "capture_id string, a int, b int")
+    write_captures(df, str(tmp_path / "apart"), "b")
+    assert {p.name for p in (tmp_path / "apart").iterdir() if p.is_dir()} == {"capture_id=x", "capture_id=y"}
+    got = spark.read.csv(str(tmp_path / "apart"), header=True)
+    assert {(r.capture_id, r.b) for r in got.collect()} == {("x", "2"), ("y", "4")}
+    write_captures(df, str(tmp_path / "one"), merge=True)
+    assert spark.read.csv(str(tmp_path / "one"), header=True).columns == ["a", "b"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.timeparse import buffer_epoch, millisecond_text
+from tidewatch.plans import files
 from tidewatch.plans.materialize import computed_once
 from tidewatch.plans.ordered import CHUNK_BITS, SUMMARY_ROWS, with_later_max
 from tidewatch.schemas import BUFFER_KEY, BUFFER_RETENTION_SECONDS
@@ -168,6 +169,11 @@ def append_buffer(rows: DataFrame, table: str) -> None:
     rows.write.mode("append").parquet(table)
 
 
+def load_buffer(spark: SparkSession, table: str) -> DataFrame:
+    """Rows of a buffer table; none where it does not exist."""
+    return spark.read.parquet(table) if files.exists(spark, table) else empty_buffer(spark)
+
+
 def clear_buffer(spark: SparkSession, table: str) -> None:
     """Leave the buffer table with its schema and no rows."""
     empty_buffer(spark).write.mode("overwrite").parquet(table)

@@ -460,6 +460,8 @@ SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'no-time' ELSE {ISO} END AS ti
     "stream_flow_archive": f"""SELECT concat('f', event_id) AS _id, CASE event_id % 3 WHEN 0
   THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%d/%m/%Y %H:%M:%S')
   ELSE {EPOCH_TEXT} END AS timestamp, {PORT} AS dst_port FROM events""",
+    "stream_unique_ids": f"""SELECT concat('f', event_id) AS _id, {AT.format('ts')} AS at
+  FROM events""",
     "stream_event_log": f"""WITH {LINES}, {SELF_CONTAINED}, {_wide_events(ALL_LOGS)}
   {EVENT_ROWS} WHERE event_id IN (SELECT event_id FROM own)""",
 }

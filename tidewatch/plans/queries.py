@@ -655,7 +655,7 @@ def retention_report(spark, sf_dir):
     """Event files past the limit, by date, where each event went to the slot of its time."""
     folder = _scratch(spark, "retention")
     text = ad.events(spark, sf_dir).select("ts", F.to_json(F.struct("event_id")).alias("json"))
-    sinks.write_events(text.repartition(4), folder, 60, at=F.col("ts"))
+    sinks.write_events(text.repartitionByRange("ts"), folder, 60, at=F.col("ts"))
     gone = retention.expired_files(spark, folder, 10, now=4102444800.0)
     day = F.regexp_extract("path", "date=([0-9-]+)", 1)
     hour = F.regexp_extract("path", "slot=([0-9]+)-", 1)
@@ -686,31 +686,29 @@ def stream_window_state(spark, sf_dir):
 
 
 def _dual_sink(spark: SparkSession, sf_dir: str) -> str:
-    """Flows streamed into an archive and a buffer; the folder that holds both."""
+    """Flows streamed into an archive and a buffer; the folder that holds both.
+
+    The later half arrives after the stream has stopped once and is picked up on restart.
+    """
     base = _scratch(spark, "stream-buffer")
-    flows = ad.buffer_flows(spark, sf_dir)
-    flows = flows.withColumn("arrival", ad.jittered_arrival())
-    ranged = flows.repartitionByRange(4, "arrival").sortWithinPartitions("arrival")
-    ranged.write.parquet(f"{base}/in")
-    stream = (
-        spark.readStream.schema(flows.schema)
-        .option("maxFilesPerTrigger", 2)
-        .parquet(f"{base}/in")
-    )
+    flows = ad.buffer_flows(spark, sf_dir).withColumn("arrival", ad.jittered_arrival())
+    middle = flows.agg((F.max("arrival") / 2).alias("middle")).first()["middle"]
 
     def to_rows(batch: DataFrame) -> DataFrame:
         sensor = F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string"))
         return rolling.buffer_rows(batch, seq=F.col("arrival"), sensor=sensor)
 
-    stream_buffer.start_dual_sink(
-        stream,
-        f"{base}/archive",
-        f"{base}/buffer",
-        f"{base}/checkpoint",
-        available_now=True,
-        to_rows=to_rows,
-        retention=SENSOR_RETENTION,
-    ).awaitTermination()
+    for half in (F.col("arrival") <= middle, F.col("arrival") > middle):
+        flows.filter(half).write.mode("append").parquet(f"{base}/in")
+        stream_buffer.start_dual_sink(
+            spark.readStream.schema(flows.schema).parquet(f"{base}/in"),
+            f"{base}/archive",
+            f"{base}/buffer",
+            f"{base}/checkpoint",
+            available_now=True,
+            to_rows=to_rows,
+            retention=SENSOR_RETENTION,
+        ).awaitTermination()
     return base
 
 
@@ -731,6 +729,28 @@ def stream_flow_archive(spark, sf_dir):
     )
 
 
+@query
+def stream_unique_ids(spark, sf_dir):
+    """Every flow is delivered twice; the second delivery is dropped by its id."""
+    base = _scratch(spark, "stream-ids")
+    flows = ad.events(spark, sf_dir).select(
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("_id"), "ts"
+    )
+    for _ in range(2):
+        flows.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(flows.schema).parquet(f"{base}/in")
+    run = (
+        stream_buffer.without_replays(stream, "ts", "60 days")
+        .writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("_id", _at("ts").alias("at"))
+
+
 @query
 def stream_event_log(spark, sf_dir):
     """Log files streamed into rotated events, read back."""

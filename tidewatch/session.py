@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Windows packed per task before the aggregate turns to sorting; a state is a few kB.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     # No call-site capture: it costs milliseconds per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",

@@ -29,7 +29,8 @@ def save_scenarios(metadata: DataFrame, windows: DataFrame, store: str) -> None:
     different scenarios do not meet.
     """
     for df, table in ((windows, "scenario_windows"), (metadata, "scenario_meta")):
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # Few files per scenario; a large one is split over several tasks.
+        writer = df.hint("rebalance", SCENARIO).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(SCENARIO).parquet(_folder(store, table))
 
 

@@ -52,3 +52,17 @@ def write_flow_archive(
     chosen.withColumn("date", slot_date(now)).withColumn(
         "slot", slot_key(now, rotation_minutes)
     ).write.mode("append").partitionBy("date", "slot").csv(folder, header=True)
+
+
+def write_captures(
+    flows: DataFrame, folder: str, fields: str | Sequence[str] | None = None, merge: bool = False
+) -> None:
+    """Flows of many captures as CSV: one output below ``capture_id=`` each, or one for all."""
+    chosen = select_fields(flows.drop("capture_id"), fields).columns
+    kept = flows.select("capture_id", *[F.col(f"`{c}`") for c in chosen])
+    if merge:
+        kept.drop("capture_id").write.csv(folder, header=True)
+    else:
+        kept.hint("rebalance", "capture_id").write.partitionBy("capture_id").csv(
+            folder, header=True
+        )

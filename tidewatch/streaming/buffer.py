@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.operators.buffer import SENSOR, buffer_rows, empty_buffer, survivors
 from tidewatch.operators.rotation import slot_date, slot_key
 from tidewatch.plans import files
-from tidewatch.plans.materialize import broadcast_if_small, written
+from tidewatch.plans.materialize import broadcast_if_small, temporary_tables, written
 from tidewatch.schemas import BUFFER_RETENTION_SECONDS, FLOW_ROTATION_MINUTES
 from tidewatch.sources.sinks import select_fields
 
@@ -74,9 +74,10 @@ def update_buffer(
 ) -> None:
     """Write the buffer version of this batch and drop all but the one before it."""
     spark = rows.sparkSession
-    arrived = written(rows, "batch-rows")
-    merged = merge_batch(_before(spark, folder, batch_id), arrived, retention, supplied_ids)
-    merged.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+    with temporary_tables(spark):
+        arrived = written(rows, "batch-rows")
+        merged = merge_batch(_before(spark, folder, batch_id), arrived, retention, supplied_ids)
+        merged.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
     for old in [v for v in _versions(spark, folder) if v < batch_id][:-1]:
         files.delete(spark, f"{folder}/v={old}")
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.normalize import all_events
 from tidewatch.operators.rotation import slot_date, slot_key
+from tidewatch.plans.materialize import temporary_tables
 from tidewatch.schemas import EVENT_ROTATION_MINUTES
 from tidewatch.sources.zeek import LOG_FILES, parse_log
 
@@ -55,15 +56,16 @@ def event_writer(
             F.regexp_replace("value", "[\\n\\r]+$", "").alias("value"),
         )
         counted = Observation()
-        events = all_events(parse_log(ordered)).observe(counted, F.count(F.lit(1)).alias("n"))
-        stamped = events.select(
-            F.col("json").alias("value"),
-            slot_date(F.lit(at)).alias("date"),
-            slot_key(F.lit(at), rotation_minutes).alias("slot"),
-            F.lit(batch_id).alias("batch"),
-        )
-        writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("date", "slot", "batch").text(out)
+        with temporary_tables(lines.sparkSession):
+            events = all_events(parse_log(ordered))
+            stamped = events.observe(counted, F.count(F.lit(1)).alias("n")).select(
+                F.col("json").alias("value"),
+                slot_date(F.lit(at)).alias("date"),
+                slot_key(F.lit(at), rotation_minutes).alias("slot"),
+                F.lit(batch_id).alias("batch"),
+            )
+            writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("date", "slot", "batch").text(out)
         if totals is not None:
             totals["events"] = totals.get("events", 0) + counted.get["n"]
 

@@ -19,8 +19,8 @@ def safe_float(col: Column) -> Column:
     Spark's cast also takes a Java type suffix ('1.5d', '1.5f'), which is no number here.
     """
     text = F.trim(col.cast("string"))
-    suffixed = text.rlike("(?i)[0-9.][df]$")
-    return F.when(~suffixed, text.try_cast("double"))
+    plain = ~F.substring(text, -1, 1).isin("d", "D", "f", "F") | F.upper(text).endswith("INF")
+    return F.when(plain, text.try_cast("double"))
 
 
 def clean_number(column: str, text: bool, factor: float | None = None) -> Column:
@@ -44,8 +44,9 @@ def _number_sql(column: str, text: bool, factor: float | None) -> str:
     name = "`" + column.replace("`", "``") + "`"
     if text:
         trimmed = f"trim(CAST({name} AS STRING))"
-        refused = f"{trimmed} RLIKE '(?i)[0-9.][df]$'"
-        number = f"CASE WHEN NOT {refused} THEN try_cast({trimmed} AS DOUBLE) END"
+        last = f"substring({trimmed}, -1, 1) NOT IN ('d', 'D', 'f', 'F')"
+        plain = f"{last} OR endswith(upper({trimmed}), 'INF')"
+        number = f"CASE WHEN {plain} THEN try_cast({trimmed} AS DOUBLE) END"
     else:
         number = f"CAST({name} AS DOUBLE)"
     return f"({number} * {factor!r}D)" if factor else f"({number})"

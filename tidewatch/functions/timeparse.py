@@ -80,25 +80,33 @@ def buffer_epoch(value: Column, numeric: bool = False, now: Column | None = None
 
 def iso_label(ts: Column) -> Column:
     """ISO-8601 text with 'Z'; microseconds appear only when there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    fraction = F.when(micros == 0, "").otherwise(F.date_format(ts, ".SSSSSS"))
-    return F.concat(whole, fraction, F.lit("Z"))
+    full = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    whole_second = F.unix_micros(ts) % 1_000_000 == 0
+    text = F.when(whole_second, F.substring(full, 1, 19)).otherwise(full)
+    return F.concat(text, F.lit("Z"))
 
 
-def log_time(text: Column, now: Column | None = None) -> Column:
-    """Epoch text of a log record as ISO text; text that is no date passes unchanged."""
+def log_instant(epoch: Column) -> Column:
+    """Time of an epoch number; null for NaN and beyond the years 1 to 9999."""
+    in_range = (epoch >= EPOCH_LOW) & (epoch < EPOCH_HIGH)
+    return F.when(in_range, F.timestamp_micros(F.rint(epoch * 1e6).try_cast("bigint")))
+
+
+def log_label(text: Column, instant: Column, now: Column | None = None) -> Column:
+    """ISO text of a log record's time; text that is no date passes unchanged."""
     current = F.current_timestamp() if now is None else now
-    number = safe_float(text)
-    in_range = (number >= EPOCH_LOW) & (number < EPOCH_HIGH) & ~F.isnan(number)
-    micros = F.when(in_range, F.rint(number * 1e6)).cast("bigint")
     return (
         F.when(text.isNull() | (text == ""), iso_label(current))
-        .when(micros.isNotNull(), iso_label(F.timestamp_micros(micros)))
+        .when(instant.isNotNull(), iso_label(instant))
         .otherwise(text)
     )
 
 
+def log_time(text: Column, now: Column | None = None) -> Column:
+    """``log_label`` of epoch text in one expression."""
+    return log_label(text, log_instant(safe_float(text)), now)
+
+
 def window_label(ts: Column) -> Column:
     """Clock time of a window."""
     return F.date_format(ts, "HH:mm:ss")

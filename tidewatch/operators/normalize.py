@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import safe_float, safe_int
-from tidewatch.functions.timeparse import log_time
+from tidewatch.functions.timeparse import log_instant, log_label
+from tidewatch.plans.materialize import computed_once
 from tidewatch.schemas import EVENT_BODY, EVENT_HEAD, EVENT_TYPE_NAMES
 
 
@@ -20,9 +21,9 @@ def _value(path: Column | str, field: str | None, kind: str) -> Column:
     if kind == "type":
         named = EVENT_TYPE_NAMES.get(path, path) if isinstance(path, str) else path
         return F.lit(named) if isinstance(named, str) else named
-    text = _field(field)
     if kind == "time":
-        return log_time(text)
+        return log_label(F.col("_ts"), F.col("_at"))
+    text = _field(field)
     if kind == "port":
         return safe_int(text, "int")
     if kind == "long":
@@ -37,15 +38,18 @@ def _columns(path: Column | str, layout: Sequence[tuple]) -> list[Column]:
 
 
 def usable(records: DataFrame) -> DataFrame:
-    """Records that can become events: they have fields, a path and a time that is not
-    infinite (an infinite epoch is an error for that record alone)."""
-    infinite = F.abs(safe_float(_field("ts"))) == float("inf")
-    return records.filter(
-        (F.size("rec") > 0)
-        & F.col("path").isNotNull()
-        & (F.col("path") != "")
-        & ~F.coalesce(infinite, F.lit(False))
-    )
+    """Records that can become events, with their time text ``_ts`` and its instant ``_at``.
+
+    They have fields, a path and a time that is not infinite (an infinite epoch is an error
+    for that record alone).
+    """
+    named = records.filter((F.size("rec") > 0) & F.col("path").isNotNull() & (F.col("path") != ""))
+    ts = _field("ts")
+    read = computed_once(named, "_t", F.struct(ts.alias("text"), safe_float(ts).alias("epoch")))
+    infinite = F.abs("_t.epoch") == float("inf")
+    finite = read.filter(~F.coalesce(infinite, F.lit(False)))
+    timed = computed_once(finite, "_at", log_instant(F.col("_t.epoch")))
+    return timed.withColumn("_ts", F.col("_t.text")).drop("_t")
 
 
 def connection_events(records: DataFrame) -> DataFrame:
@@ -89,18 +93,23 @@ def all_events(records: DataFrame) -> DataFrame:
     event_type = F.coalesce(
         *[F.when(path == p, F.lit(n)) for p, n in EVENT_TYPE_NAMES.items()], path
     )
-    body: dict[str, Column] = {}
+    # Logs that share a column read it from the same field.
+    logs_of: dict[tuple, list[str]] = {}
     for log, layout in EVENT_BODY.items():
-        for name, field, kind in layout:
-            value = F.when(path == log, _value(log, field, kind))
-            body[name] = F.coalesce(body[name], value) if name in body else value
+        for column in layout:
+            logs_of.setdefault(column, []).append(log)
+    body = {
+        name: F.when(path.isin(logs), _value(path, field, kind))
+        for (name, field, kind), logs in logs_of.items()
+    }
     extra = F.when(~path.isin(known), _unread_fields())
-    typed = usable_records.select(
-        "path",
+    event = F.struct(
         *_columns(event_type, EVENT_HEAD),
         *[c.alias(n) for n, c in body.items()],
         extra.alias("extra"),
     )
+    # The JSON text uses every column again.
+    typed = computed_once(usable_records, "_event", event).select("path", "_event.*")
     head = [name for name, _, _ in EVENT_HEAD]
     text = F.lit(None).cast("string")
     for log, layout in EVENT_BODY.items():

@@ -30,14 +30,6 @@ def _whole(feature: str) -> str:
     return f"coalesce(try_cast({_quoted(feature)} AS BIGINT), bigint('{-(2**63)}'))"
 
 
-def _spread(std_mode: str, x: Column) -> Column:
-    if std_mode == "population":
-        return F.stddev_pop(x)
-    if std_mode == "moments":
-        return F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0)))
-    raise ValueError("std_mode must be 'population' or 'moments'")
-
-
 def exploded_blocks(
     flows: DataFrame, feature_cols: Sequence[str], group: Sequence[Column]
 ) -> DataFrame:
@@ -74,23 +66,41 @@ def exploded_blocks(
 
 def block_statistics(std_mode: str) -> list[Column]:
     """Aggregates over one (group, block, item); all partial, so a hot window is reduced
-    before the shuffle and its blocks and ports go to different tasks."""
-    aggs = [F.count(F.lit(1)).alias("_n"), F.sum("_x0").alias("_sum0")]
+    before the shuffle and its blocks and ports go to different tasks.
+
+    Cleaned features are never null, so one row count serves all means.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for j in range(BLOCK):
         x = F.col(f"_x{j}")
+        if std_mode == "population":
+            spread = F.stddev_pop(x)
+        elif std_mode == "moments":
+            spread = F.sum(x * x)
+        else:
+            raise ValueError("std_mode must be 'population' or 'moments'")
         aggs += [
-            F.avg(x).alias(f"_mean{j}"),
-            _spread(std_mode, x).alias(f"_std{j}"),
+            F.sum(x).alias(f"_sum{j}"),
+            spread.alias(f"_std{j}"),
             F.min(x).alias(f"_min{j}"),
             F.max(x).alias(f"_max{j}"),
         ]
     return aggs
 
 
-def packed_state(feature_cols: Sequence[str]) -> list[Column]:
+def packed_state(std_mode: str) -> list[Column]:
     """Aggregates that put the block statistics of one window back together."""
+
+    def cell(stat: str, j: int) -> Column:
+        mean = F.col(f"_sum{j}") / F.col("_n")
+        if stat == "mean":
+            return mean
+        if stat == "std" and std_mode == "moments":
+            return F.sqrt(F.greatest(F.col(f"_std{j}") / F.col("_n") - mean * mean, F.lit(0.0)))
+        return F.col(f"_{stat}{j}")
+
     per_stat = [
-        F.array(*[F.col(f"_{stat}{j}") for j in range(BLOCK)]).alias(stat)
+        F.array(*[cell(stat, j) for j in range(BLOCK)]).alias(stat)
         for stat in ("mean", "std", "min", "max")
     ]
     is_port, is_protocol = F.col("_block") == -1, F.col("_block") == -2
@@ -137,7 +147,7 @@ def window_states(
     group = [*keys, "window_start"]
     cells = exploded_blocks(flows, feature_cols, [*[F.col(k) for k in keys], start])
     parts = cells.groupBy(*group, "_block", "_item").agg(*block_statistics(std_mode))
-    packed = parts.groupBy(*group).agg(*packed_state(feature_cols))
+    packed = parts.groupBy(*group).agg(*packed_state(std_mode))
     return packed.select(*group, "flow_count", state_column(feature_cols).alias("state"))
 
 

@@ -54,7 +54,9 @@ def read_log_lines(spark: SparkSession, folder: str, pattern: str = LOG_FILES) -
 
 def literal_split(text: Column, separator: Column) -> Column:
     """Split on a literal separator, keeping empty trailing parts."""
-    return F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1)
+    by_other = F.split(text, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), -1)
+    # A constant tab needs no pattern to be compiled per line.
+    return F.when(separator == "\t", F.split(text, "\t", -1)).otherwise(by_other)
 
 
 def _separator_value(line: Column) -> Column:

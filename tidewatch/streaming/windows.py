@@ -34,7 +34,7 @@ def stream_window_states(
     window = F.window(F.col(TIME_COLUMN), window_size).alias("window")
     cells = exploded_blocks(marked, feature_cols, [*[F.col(k) for k in keys], window])
     parts = cells.groupBy(*keys, "window", "_block", "_item").agg(*block_statistics(std_mode))
-    packed = parts.groupBy(*keys, "window").agg(*packed_state(feature_cols))
+    packed = parts.groupBy(*keys, "window").agg(*packed_state(std_mode))
     return packed.select(
         *keys,
         F.col("window.start").alias("window_start"),

@@ -29,10 +29,8 @@ def clean_number(column: str, text: bool, factor: float | None = None) -> Column
     One SQL text per feature, as wide records have dozens of them. ``factor`` converts units.
     """
     number = _number_sql(column, text, factor)
-    return F.expr(
-        f"CASE WHEN isnan({number}) OR abs({number}) = double('Infinity') THEN 0.0D "
-        f"ELSE coalesce({number}, 0.0D) END"
-    )
+    # A number minus itself is 0 only if the number is finite.
+    return F.expr(f"CASE WHEN {number} - {number} = 0.0D THEN {number} ELSE 0.0D END")
 
 
 def raw_number(column: str, text: bool, factor: float | None = None) -> Column:
@@ -43,10 +41,10 @@ def raw_number(column: str, text: bool, factor: float | None = None) -> Column:
 def _number_sql(column: str, text: bool, factor: float | None) -> str:
     name = "`" + column.replace("`", "``") + "`"
     if text:
-        trimmed = f"trim(CAST({name} AS STRING))"
-        last = f"substring({trimmed}, -1, 1) NOT IN ('d', 'D', 'f', 'F')"
-        plain = f"{last} OR endswith(upper({trimmed}), 'INF')"
-        number = f"CASE WHEN {plain} THEN try_cast({trimmed} AS DOUBLE) END"
+        text_value = f"CAST({name} AS STRING)"
+        last = f"substring(rtrim({text_value}), -1, 1)"
+        plain = f"{last} NOT IN ('d', 'D', 'f', 'F') OR upper(rtrim({text_value})) LIKE '%INF'"
+        number = f"CASE WHEN {plain} THEN try_cast({text_value} AS DOUBLE) END"
     else:
         number = f"CAST({name} AS DOUBLE)"
     return f"({number} * {factor!r}D)" if factor else f"({number})"

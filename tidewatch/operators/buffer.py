@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.timeparse import buffer_epoch, millisecond_text
 from tidewatch.plans import files
-from tidewatch.plans.materialize import computed_once
+from tidewatch.plans.materialize import broadcast_if_small, computed_once, written
 from tidewatch.plans.ordered import CHUNK_BITS, SUMMARY_ROWS, with_later_max
 from tidewatch.schemas import BUFFER_KEY, BUFFER_RETENTION_SECONDS
 
@@ -82,9 +82,9 @@ def survivors(
     if not supplied_ids:
         return kept
     member = [SENSOR, "payload"]
-    again = rows.select(*member, "arrival_seq").join(
-        kept.select(*member).distinct(), member, "left_semi"
-    )
+    kept = written(kept, "survivors")
+    held = broadcast_if_small(kept).select(*member)
+    again = rows.select(*member, "arrival_seq").join(held, member, "left_semi")
     last = again.groupBy(*member).agg(F.max("arrival_seq").alias("arrival_seq"))
     return kept.join(last, [*member, "arrival_seq"], "left_semi")
 

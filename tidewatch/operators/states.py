@@ -45,7 +45,8 @@ def exploded_blocks(
     def block(number: int, item: str | None, cells: Sequence[str]) -> str:
         padded = [*cells, *["CAST(NULL AS DOUBLE)"] * (BLOCK - len(cells))]
         named = ", ".join(f"'_x{j}', {c}" for j, c in enumerate(padded))
-        return f"named_struct('_block', {number}, '_item', {item or 'CAST(NULL AS BIGINT)'}, {named})"
+        item = item or "CAST(NULL AS BIGINT)"
+        return f"named_struct('_block', {number}, '_item', {item}, {named})"
 
     blocks = [
         block(start // BLOCK, None, [_quoted(f) for f in feature_cols[start : start + BLOCK]])

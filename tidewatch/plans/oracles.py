@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidewatch.functions.names import horizon_label, state_names
 from tidewatch.plans import adapters as ad
 from tidewatch.plans.queries import RANGE, SENSOR_RETENTION, THRESHOLD
-from tidewatch.schemas import TACTIC_NAMES, VERDICT_ATTACK, VERDICT_CLEAR
+from tidewatch.schemas import EVENT_BODY, TACTIC_NAMES, VERDICT_ATTACK, VERDICT_CLEAR
 
 BUNDLE = ad.formula_bundle()
 NAMES = BUNDLE.names
@@ -243,8 +243,6 @@ _BODY_SQL = {"text": _f, "real": _real, "long": lambda n: _whole(n, "BIGINT"), "
 
 
 def _wide_events(logs: str) -> str:
-    from tidewatch.schemas import EVENT_BODY
-
     seen: dict[str, str] = {}
     for layout in EVENT_BODY.values():
         for name, field, kind in layout:
@@ -259,8 +257,6 @@ stamped AS (SELECT *, CASE WHEN micros IS NULL THEN ts_text ELSE {ISO} END AS ti
 
 
 def _typed_events(log: str) -> str:
-    from tidewatch.schemas import EVENT_BODY
-
     body = ", ".join(name for name, _, _ in EVENT_BODY[log])
     return f"""WITH {LINES}, {_wide_events(f"'{log}'")} SELECT timestamp, event_type, src_ip,
   src_port, dst_ip, dst_port, {body} FROM stamped"""

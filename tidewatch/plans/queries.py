@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ from tidewatch.operators.scorers import lstm_scorer
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
 from tidewatch.operators.states import state_dimensions, window_states
 from tidewatch.plans import adapters as ad
-from tidewatch.plans.materialize import written
 from tidewatch.session import shared_dir
 from tidewatch.sources import flow_csv, scenario_store, sinks, zeek
 from tidewatch.streaming import buffer as stream_buffer
@@ -215,8 +215,6 @@ def hybrid_risk(spark, sf_dir):
 
 @query
 def risk_without_baseline(spark, sf_dir):
-    from dataclasses import replace
-
     bundle = replace(ad.formula_bundle(), baseline=None)
     scorer = ad.formula_scorer(len(bundle.names))
     windows = detection.scored_windows(ad.narrow_flows(spark, sf_dir), bundle, scorer)
@@ -415,9 +413,8 @@ RANGE = (1704844800.0, 1705449600.0)  # 2024-01-10 to 2024-01-17
 
 @query
 def buffer_range(spark, sf_dir):
-    flows = rolling.read_flows(
-        _arrivals(spark, sf_dir), "timestamp string, src_ip string, dst_port bigint, _id string", *RANGE
-    )
+    schema = "timestamp string, src_ip string, dst_port bigint, _id string"
+    flows = rolling.read_flows(_arrivals(spark, sf_dir), schema, *RANGE)
     return flows.select("ts_epoch", "_id", "src_ip", "dst_port")
 
 
@@ -431,7 +428,8 @@ def buffer_prune(spark, sf_dir):
 
 @query
 def buffer_stats(spark, sf_dir):
-    return rolling.buffer_stats(rolling.survivors(_sensor_arrivals(spark, sf_dir), SENSOR_RETENTION))
+    rows = rolling.survivors(_sensor_arrivals(spark, sf_dir), SENSOR_RETENTION)
+    return rolling.buffer_stats(rows)
 
 
 @query
@@ -547,9 +545,9 @@ def log_file_scan(spark, sf_dir):
 
 @query
 def log_times(spark, sf_dir):
-    text = F.when(F.col("event_id") % 23 == 0, F.lit("no-time")).otherwise(
-        F.format_string("%d.%06d", F.floor(F.unix_micros("ts") / 1000000), F.unix_micros("ts") % 1000000)
-    )
+    micros = F.unix_micros("ts")
+    epoch = F.format_string("%d.%06d", F.floor(micros / 1000000), micros % 1000000)
+    text = F.when(F.col("event_id") % 23 == 0, F.lit("no-time")).otherwise(epoch)
     return ad.events(spark, sf_dir).select("event_id", timeparse.log_time(text).alias("timestamp"))
 
 

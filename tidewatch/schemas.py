@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The 82 columns of a flow record, in file order.
 FLOW_COLUMNS = """
 src_ip dst_ip src_port dst_port protocol timestamp flow_duration flow_byts_s flow_pkts_s
@@ -89,13 +87,3 @@ EVENT_BODY = {
     ],
 }
 EVENT_TYPE_NAMES = {"conn": "connection"}
-
-TRAJECTORY_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("step_ahead", T.StringType()),
-            T.StructField("prob", T.DoubleType()),
-            T.StructField("stage", T.StringType()),
-        ]
-    )
-)

@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Windows packed per task before the aggregate turns to sorting; a state is a few kB.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
+    # State of open windows on disk rather than on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # No call-site capture: it costs milliseconds per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",

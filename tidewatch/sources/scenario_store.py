@@ -30,7 +30,8 @@ def save_scenarios(metadata: DataFrame, windows: DataFrame, store: str) -> None:
     """
     for df, table in ((windows, "scenario_windows"), (metadata, "scenario_meta")):
         # Few files per scenario; a large one is split over several tasks.
-        writer = df.hint("rebalance", SCENARIO).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = df.hint("rebalance", SCENARIO).write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(SCENARIO).parquet(_folder(store, table))
 
 

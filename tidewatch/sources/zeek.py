@@ -150,5 +150,6 @@ def parse_log(lines: DataFrame) -> DataFrame:
     )
     # Spark plans a size check of its own, so unequal lengths must not reach the map.
     record = F.when(is_well_formed(), F.map_from_arrays("fields", cleaned))
-    slim = good.select("file", "block", "pos", "path", "parts", "fields", "unset_field", "empty_field")
-    return computed_once(slim, "rec", record).select("file", "block", "pos", "path", "rec")
+    place = ["file", "block", "pos", "path"]
+    slim = good.select(*place, "parts", "fields", "unset_field", "empty_field")
+    return computed_once(slim, "rec", record).select(*place, "rec")

@@ -11,9 +11,9 @@ from tidewatch.functions.names import match_name, state_names, text_array
 from tidewatch.operators.flows import TIME_COLUMN
 
 HIGH_PORT_ABOVE = 1024
-# Features per exploded row. Four keep the aggregate's generated code small enough to stay
-# compiled (78 features as 312 plain columns do not) and cost a quarter of the rows that
-# one feature per row would.
+# Features per exploded row. Four keep the aggregate's generated code small and cost a
+# quarter of the rows that one feature per row would; the fastest of 1, 2, 4, 8, 13 and 20
+# on 78 features.
 BLOCK = 4
 
 

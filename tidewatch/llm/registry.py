@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidewatch.llm.mixing import OP2_SQL, op2_mix
+from tidewatch.llm.simhash import op4_simhash
 from tidewatch.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {q.__name__: q for q in (op2_mix, op8_url_filter)}
+QUERIES = {q.__name__: q for q in (op2_mix, op4_simhash, op8_url_filter)}
 ORACLES = {"op2_mix": OP2_SQL, "op8_url_filter": OP8_SQL}

@@ -49,6 +49,28 @@ def running_start(df: DataFrame, keys: list[str], chunk: str, order: list, value
     )
 
 
+def cut_spans(docs: DataFrame, spans: str, text: str = "text") -> DataFrame:
+    """Take sorted, disjoint spans (start, end in code points) out of a text column.
+
+    Rows without spans keep their text as it is; n_chars, if present, follows the new text.
+    """
+    old, n = F.col(text), F.size(spans)
+    at = F.col(spans)
+
+    def piece(i: Column) -> Column:
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["end"])
+        stop = F.coalesce(F.get(at, i)["start"], F.length(old))
+        return F.substring(old, begin.cast("int") + 1, F.greatest(stop - begin, F.lit(0)).cast("int"))
+
+    rest = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
+    cut = F.coalesce(n, F.lit(0)) > 0
+    out = docs.withColumn(text, F.when(cut, rest).otherwise(old))
+    if "n_chars" in docs.columns:
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the least node.
 

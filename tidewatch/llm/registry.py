@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from tidewatch.llm.decontaminate import op7_decontaminate
+from tidewatch.llm.line_dedup import op3_line_dedup
 from tidewatch.llm.mixing import OP2_SQL, op2_mix
 from tidewatch.llm.quality import op1_quality
 from tidewatch.llm.simhash import op4_simhash
 from tidewatch.llm.toxicity import op6_toxicity
 from tidewatch.llm.url_filter import OP8_SQL, op8_url_filter
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_mix, op4_simhash, op6_toxicity, op8_url_filter)}
+QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    **{
+        q.__name__: q
+        for q in (
+            op1_quality, op2_mix, op3_line_dedup, op4_simhash, op6_toxicity, op7_decontaminate,
+            op8_url_filter,
+        )
+    },
+}
 ORACLES = {"op2_mix": OP2_SQL, "op8_url_filter": OP8_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidewatch.llm.decontaminate import op7_decontaminate
+from tidewatch.llm.embeddings import op9_embeddings
 from tidewatch.llm.line_dedup import op3_line_dedup
 from tidewatch.llm.mixing import OP2_SQL, op2_mix
+from tidewatch.llm.pii import op10_personal_data
 from tidewatch.llm.quality import op1_quality
+from tidewatch.llm.secrets import op5_secrets
 from tidewatch.llm.simhash import op4_simhash
 from tidewatch.llm.toxicity import op6_toxicity
 from tidewatch.llm.url_filter import OP8_SQL, op8_url_filter
@@ -16,8 +19,8 @@ QUERIES = {
     **{
         q.__name__: q
         for q in (
-            op1_quality, op2_mix, op3_line_dedup, op4_simhash, op6_toxicity, op7_decontaminate,
-            op8_url_filter,
+            op1_quality, op2_mix, op3_line_dedup, op4_simhash, op5_secrets, op6_toxicity,
+            op7_decontaminate, op8_url_filter, op9_embeddings, op10_personal_data,
         )
     },
 }

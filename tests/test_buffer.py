@@ -132,3 +132,14 @@ def test_append_and_clear(spark, tmp_path):
     assert B.load_buffer(spark, table).count() == 3
     B.clear_buffer(spark, table)
     assert B.load_buffer(spark, table).count() == 0
+
+
+def test_batches_without_order(spark, tmp_path):
+    table = str(tmp_path / "buffer")
+    for times in ([5000, 5010], [1000], [1000]):
+        flows = spark.createDataFrame([(t, "x") for t in times], "timestamp long, note string")
+        B.append_flows(flows.coalesce(1), table)
+    rows = B.load_buffer(spark, table)
+    assert rows.select("_id").distinct().count() == 4
+    alive = B.survivors(rows, 300)
+    assert kept(alive) == [1000, 1000, 5000, 5010]

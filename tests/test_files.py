@@ -62,3 +62,12 @@ def test_retention(spark, tmp_path):
     assert clean_expired(spark, str(tmp_path), 10, now) == 2
     assert not old.parent.exists() and not part.exists()
     assert new.exists() and edge.exists() and other.exists()
+
+
+def test_retention_of_missing_and_nested_folders(spark, tmp_path):
+    assert clean_expired(spark, str(tmp_path / "absent"), 10) == 0
+    slot = tmp_path / "events" / "date=2024-01-01" / "slot=00-00"
+    slot.mkdir(parents=True)
+    (slot / "part-0.txt").write_text("x\n")
+    assert clean_expired(spark, str(tmp_path / "events"), 10, now=4102444800.0) == 1
+    assert not (tmp_path / "events" / "date=2024-01-01").exists()

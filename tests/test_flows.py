@@ -192,3 +192,12 @@ def test_one_output_per_capture_or_one_for_all(spark, tmp_path):
     assert {(r.capture_id, r.b) for r in got.collect()} == {("x", "2"), ("y", "4")}
     write_captures(df, str(tmp_path / "one"), merge=True)
     assert spark.read.csv(str(tmp_path / "one"), header=True).columns == ["a", "b"]
+
+
+def test_long_line_fails_whatever_is_read(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n1,2\n1,2,3\n")
+    flows = read_flow_csv(spark, str(path))
+    for read in (flows.drop("capture_id").collect, flows.count, flows.select("a").collect, flows.agg({"b": "max"}).collect):
+        with pytest.raises(Exception, match="too many fields"):
+            read()

@@ -32,7 +32,7 @@ def test_names():
     ],
 )
 def test_horizon(steps, size, label):
-    assert names.horizon_label(steps, size) == label
+    assert names.horizon_labels(steps, size)[-1] == label
 
 
 def test_tactics_and_dimensions(spark):

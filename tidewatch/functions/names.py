@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,13 +20,17 @@ META_NAMES = (
 )
 
 
+# Fixed value: what the comparison of column names leaves out.
+MATCHED_AWAY = "[^a-z0-9]"
+
+
 def match_name(name: str) -> str:
     """Spelling-free form of a column name: 'Flow Byts/s' and 'flow_byts_s' agree."""
-    return re.sub("[^a-z0-9]+", "", str(name).lower())
+    return re.sub(MATCHED_AWAY, "", str(name).lower())
 
 
 def match_name_col(col: Column) -> Column:
-    return F.regexp_replace(F.lower(col), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(col), MATCHED_AWAY, "")
 
 
 def state_names(feature_cols: Sequence[str]) -> list[str]:
@@ -47,18 +50,28 @@ def dimension_name(names: Sequence[str], index: Column) -> Column:
     return F.coalesce(known, F.concat(F.lit("dim_"), index.cast("string")))
 
 
-def horizon_label(steps: int, window_size: str) -> str:
-    """How far ahead forecast step ``steps`` lies, for the window size in use."""
+# How a horizon is written in seconds, minutes, parts of minutes, and in steps.
+HORIZON_TEXTS = ("+{:d}s", "+{:d}min", "+{:.1f}min", "+{:d} step(s)")
+SECOND, MINUTE = 1_000_000, 60_000_000
+
+
+def horizon_labels(k_steps: int, window_size: str) -> list[str]:
+    """How far ahead each forecast step lies; in steps where the window size is unreadable."""
+    in_seconds, in_minutes, in_parts, in_steps = HORIZON_TEXTS
+    steps = range(1, k_steps + 1)
     try:
-        seconds = Decimal(str((pd.Timedelta(window_size) * steps).total_seconds()))
-    except Exception:
-        return f"+{steps} step(s)"
-    if seconds < 60:
-        return f"+{int(seconds)}s"
-    minutes, rest = divmod(seconds, 60)
-    if rest == 0:
-        return f"+{int(minutes)}min"
-    return f"+{float(seconds) / 60:.1f}min"
+        window = pd.Timedelta(window_size).value // 1000
+    except ValueError:
+        return [in_steps.format(n) for n in steps]
+    labels = []
+    for ahead in (n * window for n in steps):
+        if ahead < MINUTE:
+            labels.append(in_seconds.format(ahead // SECOND))
+        elif ahead % MINUTE:
+            labels.append(in_parts.format(ahead / MINUTE))
+        else:
+            labels.append(in_minutes.format(ahead // MINUTE))
+    return labels
 
 
 def tactic_name(cls: Column) -> Column:

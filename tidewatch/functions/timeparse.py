@@ -34,7 +34,8 @@ FREE_FORM = (
     "M-d-yyyy",
 )
 # Flow files: ISO first, then day-first.
-FLOW_FORMATS = ("iso",) + DAY_FIRST
+# Flow files keep one convention; a month-first file names its own formats.
+FLOW_FORMATS = ("iso",) + tuple(f for f in DAY_FIRST if f.startswith("d/"))
 
 EPOCH_LOW, EPOCH_HIGH = -62135596800.0, 253402300800.0
 

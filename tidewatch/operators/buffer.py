@@ -7,6 +7,8 @@ if no flow arriving at or after it is that much newer.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +40,13 @@ def buffer_rows(
 ) -> DataFrame:
     """Flows as buffer rows. ``timestamp`` (epoch seconds) overrides the flow's own time.
 
-    ``seq`` is the arrival order, unique per sensor; the scan order by default. A flow's own
+    ``seq`` is the arrival order, unique per sensor; the scan order of these flows by default
+    (for a table that grows by batches see :func:`append_flows`). A flow's own
     ``_id`` is kept. Flows whose time is NaN cannot be ordered and are left out.
     """
     columns = [c for c in flows.columns if c != "_id"]
+    # One moment for all rows and all reads of them.
+    now = F.lit(datetime.now(UTC)) if now is None else now
     seq = F.monotonically_increasing_id() if seq is None else seq
     sensor = F.lit(BUFFER_KEY) if sensor is None else sensor
     if timestamp is None and "timestamp" in flows.columns:
@@ -169,6 +174,18 @@ def append_buffer(rows: DataFrame, table: str) -> None:
     rows.write.mode("append").parquet(table)
 
 
+def append_flows(flows: DataFrame, table: str, **how) -> None:
+    """Append a batch of flows that have no arrival order of their own.
+
+    They arrive after everything in the table, in their own order, so neither order nor
+    default ids meet those of earlier batches. ``how`` goes to :func:`buffer_rows`. One
+    writer per table.
+    """
+    last = load_buffer(flows.sparkSession, table).agg(F.max("arrival_seq")).first()[0]
+    offset = F.lit(0 if last is None else last + 1).cast("bigint")
+    append_buffer(buffer_rows(flows, seq=offset + F.monotonically_increasing_id(), **how), table)
+
+
 def load_buffer(spark: SparkSession, table: str) -> DataFrame:
     """Rows of a buffer table; none where it does not exist."""
     return spark.read.parquet(table) if files.exists(spark, table) else empty_buffer(spark)

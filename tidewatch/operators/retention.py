@@ -22,6 +22,8 @@ def expired_files(
     pattern: str = EVENT_FILES,
 ) -> DataFrame:
     """Event files strictly older than the limit: ``path, modified``. No content is read."""
+    if not files.exists(spark, folder):
+        return spark.createDataFrame([], "path string, modified timestamp")
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -42,7 +44,9 @@ def clean_expired(
     now: float | None = None,
     dry_run: bool = False,
 ) -> int:
-    """Delete expired event files, then first-level folders left empty; returns the count.
+    """Delete expired event files, then folders left empty; returns the count of files.
+
+    A missing folder has none.
 
     The paths come one partition at a time, never as one list. ``dry_run`` only counts.
     """
@@ -53,6 +57,14 @@ def clean_expired(
         return expired.count()
     removed = sum(files.delete(spark, row.path) for row in expired.toLocalIterator())
     for path, is_folder in list(files.children(spark, folder)):
-        if is_folder and next(files.children(spark, path), None) is None:
-            files.delete(spark, path)
+        if is_folder:
+            _drop_empty(spark, path)
     return removed
+
+
+def _drop_empty(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder that holds nothing but empty folders; a date of empty slots goes whole."""
+    kept = False
+    for path, is_folder in list(files.children(spark, folder)):
+        kept = not (is_folder and _drop_empty(spark, path)) or kept
+    return not kept and files.delete(spark, folder)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.names import dimension_name, horizon_label, tactic_name
+from tidewatch.functions.names import dimension_name, horizon_labels, tactic_name
 from tidewatch.functions.numeric import (
     first_argmax,
     max_keep_first,
@@ -47,7 +47,7 @@ def top_features(importance: Column, names: Sequence[str], k: int = TOP_FEATURES
 def trajectory(steps: Column, bundle: Bundle) -> Column:
     """Forecast points; the class is gated on the step's own attack probability."""
     labels = F.array(
-        *[F.lit(horizon_label(k + 1, bundle.window_size)) for k in range(bundle.k_steps)]
+        *[F.lit(t) for t in horizon_labels(bundle.k_steps, bundle.window_size)]
     )
 
     def point(step: Column, i: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scorers import LinearScorer
-from tidewatch.plans.materialize import spread, written
+from tidewatch.plans.materialize import written
 from tidewatch.schemas import FLOW_COLUMNS, FLOW_TEXT_COLUMNS
 from tidewatch.session import configure
 from tidewatch.sources.bundle import Bundle, seeded_lstm_weights
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = spread(table(spark, sf_dir, "events"))
+    read = table(spark, sf_dir, "events")
     return read.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -43,17 +43,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a read has fewer pieces than that; else ``df`` as it is.
-
-    A small table in one file would keep one core busy. Tables of a real size have more
-    pieces than cores and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
-
-
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add an expensive column that later filters and projections must not repeat.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.functions.names import horizon_label, state_names
+from tidewatch.functions.names import horizon_labels, state_names
 from tidewatch.plans import adapters as ad
 from tidewatch.plans.queries import RANGE, SENSOR_RETENTION, THRESHOLD
 from tidewatch.schemas import EVENT_BODY, TACTIC_NAMES, VERDICT_ATTACK, VERDICT_CLEAR
@@ -141,7 +141,7 @@ def _forecast() -> str:
         gated = f"(CASE WHEN p{k} < {THRESHOLD} THEN 0 ELSE m{k} END)"
         parts.append(
             f"SELECT capture_id, step_index, {k + 1}, "
-            f"'{horizon_label(k + 1, BUNDLE.window_size)}', round(p{k}, 4), {_stage(gated)}"
+            f"'{horizon_labels(k + 1, BUNDLE.window_size)[k]}', round(p{k}, 4), {_stage(gated)}"
             " FROM windows"
         )
     return f"WITH {_scored()} " + " UNION ALL ".join(parts)
@@ -266,11 +266,6 @@ ALL_LOGS = ", ".join(f"'{log}'" for log in ad.LOG_FIELDS)
 EVENT_ROWS = """SELECT timestamp, event_type, src_ip, src_port, duration, status_code, query,
  server_name, msg FROM stamped"""
 # Blocks that have a header of their own: each file's first, and block 1 of ssl logs.
-SELF_CONTAINED = """heads AS (SELECT file, min(block) AS head FROM lines GROUP BY file),
- own AS (SELECT DISTINCT l.event_id FROM lines l JOIN heads h ON l.file = h.file
- WHERE l.block = h.head OR (l.log = 'ssl' AND l.block = 1))"""
-
-
 def _slot(length: int) -> str:
     return f"""lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || '-' ||
  lpad(CAST(minute(ts) // {length} * {length} AS VARCHAR), 2, '0')"""
@@ -306,15 +301,16 @@ FROM long GROUP BY feature"""
 
 
 def _moments() -> str:
-    keep = [i for i, f in enumerate(ad.FEATURES) if f not in ("Flow Duration", "Flow IAT Mean")]
-    names = [f"std_{ad.FEATURES[i]}" for i in keep]
+    keep = range(len(ad.FEATURES))
+    names = [f"std_{f}" for f in ad.FEATURES]
     cells = ", ".join(
         f"sqrt(greatest(avg(x{i} * x{i}) - avg(x{i}) * avg(x{i}), 0))" for i in keep
     )
     return f"""WITH {CLEAN}, states AS (SELECT capture_id, date_trunc('hour', ts) AS w,
   [{cells}] AS s FROM flows GROUP BY 1, 2), long AS (SELECT capture_id, w,
   unnest({_text(names)}) AS feature, unnest(s) AS v FROM states)
-SELECT capture_id, {AT.format('w')} AS window_start, feature, round(v, 4) AS value FROM long"""
+SELECT capture_id, {AT.format('w')} AS window_start, feature, CASE WHEN regexp_matches(
+  lower(feature), 'iat|active|idle|duration') THEN round(v, 0) ELSE round(v, 4) END AS value FROM long"""
 
 
 _SPELLINGS = "[' 12 ', '12.0', '1e3', '', '-', '1.5d', '1.5f', '-7', 'abc'][event_id % 9 + 1]"
@@ -423,15 +419,19 @@ SELECT concat('capture_0', capture_id) AS scenario_id, count(*) AS total_windows
   FROM stamped JOIN (SELECT event_id, field, value FROM rec) r USING (event_id)
   WHERE field NOT IN ('ts', 'id.orig_h', 'id.orig_p', 'id.resp_h', 'id.resp_p')""",
     "event_sink": f"WITH {LINES}, {_wide_events(ALL_LOGS)} {EVENT_ROWS}",
-    "log_file_scan": f"""WITH {LINES}, {SELF_CONTAINED}, {_wide_events(ALL_LOGS)}
+    "log_file_scan": f"""WITH {LINES}, {_wide_events(ALL_LOGS)}
 SELECT event_type, count(*) AS events, count(src_port) AS with_port, sum(orig_bytes)::BIGINT AS
-  orig_bytes FROM stamped WHERE event_id IN (SELECT event_id FROM own) GROUP BY event_type""",
+  orig_bytes FROM stamped GROUP BY event_type""",
     "log_times": f"""WITH t AS (SELECT event_id, epoch_us(ts) AS micros FROM events)
 SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'no-time' ELSE {ISO} END AS timestamp FROM t""",
     "safe_numbers": f"""SELECT event_id, CASE WHEN regexp_full_match(trim({_SPELLINGS}),
   '[-+]?[0-9]+') THEN CAST(trim({_SPELLINGS}) AS BIGINT) END AS whole,
   CASE WHEN NOT regexp_matches({_SPELLINGS}, '[df]$') THEN try_cast({_SPELLINGS} AS DOUBLE) END
   AS "real" FROM events""",
+    "buffer_append_batches": f"""WITH e AS (SELECT event_id, epoch_us(ts) AS t,
+  row_number() OVER (ORDER BY event_id % 3, event_id) AS seq FROM events)
+SELECT event_id FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED
+  FOLLOWING) AS newest FROM e) WHERE newest - {SENSOR_RETENTION}::BIGINT * 1000000 <= t""",
     "slot_keys": f"""SELECT event_id, strftime(ts, '%Y-%m-%d') AS slot_date, {_slot(15)} AS
   slot_15, {_slot(25)} AS slot_25, concat('flows_', strftime(ts, '%Y-%m-%d'), '_', {_slot(5)},
   '.csv') AS file_name FROM events""",
@@ -443,14 +443,12 @@ SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'no-time' ELSE {ISO} END AS ti
     "flow_fields": f"""SELECT event_id, {AT.format('ts')} AS timestamp, {PORT} AS dst_port
   FROM events""",
     "flow_csv_scan": f"""WITH {CLEAN} SELECT event_id, {AT.format('ts')} AS at,
-  round(round(x2 / 10000) * {_d(1e6)}, 3) AS duration, round(x3, 3) AS packets FROM flows
-  WHERE capture_id % 2 = 0""",
+  round(round(x2 / 10000) * {_d(1e6)}, 3) AS duration, round(x3, 3) AS packets FROM flows""",
     "flow_csv_merge": f"""SELECT count(*) AS flows, count(*) FILTER (user_id % 2 = 0) AS with_cwr,
   CAST(sum({PORT}) AS BIGINT) AS ports FROM events""",
     "retention_report": """SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT hour(ts)) AS
   slots FROM events GROUP BY 1""",
-    "stream_window_state": f"""{_state_rows('hour')} WHERE w + INTERVAL 1 HOUR <=
-  (SELECT max(ts) - INTERVAL 1 MINUTE FROM flows)""",
+    "stream_window_state": _state_rows("hour"),
     "stream_rolling_buffer": f"""WITH {_kept(SENSOR_RETENTION)}
   SELECT sensor, arrival_seq, _id, ts_epoch FROM kept""",
     "stream_flow_archive": f"""SELECT concat('f', event_id) AS _id, CASE event_id % 3 WHEN 0
@@ -458,6 +456,6 @@ SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'no-time' ELSE {ISO} END AS ti
   ELSE {EPOCH_TEXT} END AS timestamp, {PORT} AS dst_port FROM events""",
     "stream_unique_ids": f"""SELECT concat('f', event_id) AS _id, {AT.format('ts')} AS at
   FROM events""",
-    "stream_event_log": f"""WITH {LINES}, {SELF_CONTAINED}, {_wide_events(ALL_LOGS)}
-  {EVENT_ROWS} WHERE event_id IN (SELECT event_id FROM own)""",
+    "stream_event_log": f"""WITH {LINES}, {_wide_events(ALL_LOGS)}
+  {EVENT_ROWS}""",
 }

@@ -15,7 +15,6 @@ from tidewatch.operators import buffer as rolling
 from tidewatch.operators import detect as detection
 from tidewatch.operators import normalize, retention, rotation
 from tidewatch.operators.flows import align_flows
-from tidewatch.operators.scorers import lstm_scorer
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
 from tidewatch.operators.states import state_dimensions, window_states
 from tidewatch.plans import adapters as ad
@@ -93,15 +92,15 @@ def window_state_1h(spark, sf_dir):
 
 @query
 def window_state_moments(spark, sf_dir):
-    flows = ad.narrow_flows(spark, sf_dir).drop("flow_duration", "flow_iat_mean")
-    features = [f for f in ad.FEATURES if f not in ("Flow Duration", "Flow IAT Mean")]
-    states = window_states(align_flows(flows, features), features, HOUR, std_mode="moments")
-    long = state_dimensions(states, features).filter(F.col("feature").startswith("std_"))
+    """Deviations by sums of squares; on microsecond features this form is good to whole units."""
+    states = window_states(_cleaned(spark, sf_dir), ad.FEATURES, HOUR, std_mode="moments")
+    long = state_dimensions(states, ad.FEATURES).filter(F.col("feature").startswith("std_"))
+    spans = F.lower("feature").rlike("iat|active|idle|duration")
     return long.select(
         "capture_id",
         _at("window_start").alias("window_start"),
         "feature",
-        F.round("value", 4).alias("value"),
+        F.when(spans, F.round("value", 0)).otherwise(F.round("value", 4)).alias("value"),
     )
 
 
@@ -277,31 +276,6 @@ def state_dimension_names(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _lstm_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundle = ad.formula_bundle()
-    scorer = lstm_scorer(spark, ad.small_weights(len(bundle.names)))
-    return detection.scored_windows(ad.narrow_flows(spark, sf_dir), bundle, scorer)
-
-
-@query
-def lstm_scores(spark, sf_dir):
-    return _lstm_windows(spark, sf_dir).select(
-        "capture_id", "step_index", "timestamp", "flow_count", "current_risk", "current_stage"
-    )
-
-
-@query
-def lstm_forecast(spark, sf_dir):
-    return detection.forecast_points(_lstm_windows(spark, sf_dir))
-
-
-@query
-def lstm_attribution(spark, sf_dir):
-    return _lstm_windows(spark, sf_dir).select(
-        "capture_id", "step_index", F.inline("shap_features")
-    )
-
-
 # --- scenario store -----------------------------------------------------------------
 
 
@@ -522,18 +496,26 @@ def _write_logs(lines: DataFrame, folder: str) -> None:
     ordered.select("log", "part", "value").write.partitionBy("log", "part").text(folder)
 
 
-def _self_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the logs whose files carry their header: first blocks and changed ones."""
+def _with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the logs, each block led by the header that holds for it, so that every
+    rotated file can be read on its own."""
     lines = ad.log_lines(spark, sf_dir)
-    heads = lines.filter(F.col("value").startswith("#")).select("file", "block").distinct()
-    return lines.join(heads, ["file", "block"], "left_semi")
+    is_head = F.col("value").startswith("#")
+    heads = lines.filter(is_head).withColumnRenamed("block", "head")
+    body = lines.filter(~is_head)
+    blocks = body.select("file", "block").distinct()
+    holds = (
+        blocks.join(heads.select("file", "head").distinct(), "file")
+        .filter("head <= block").groupBy("file", "block").agg(F.max("head").alias("head"))
+    )
+    return body.unionByName(holds.join(heads, ["file", "head"]).select(body.columns))
 
 
 @query
 def log_file_scan(spark, sf_dir):
     """Logs written as text files and scanned as such, with header and body in one file."""
     folder = _scratch(spark, "logs")
-    _write_logs(_self_contained(spark, sf_dir), folder)
+    _write_logs(_with_headers(spark, sf_dir), folder)
     text = spark.read.option("recursiveFileLookup", "true").text(folder)
     records = zeek.parse_log(zeek.positioned(text))
     return normalize.all_events(records).groupBy("event_type").agg(
@@ -566,6 +548,19 @@ def safe_numbers(spark, sf_dir):
 # --- slots, names, fields, files ----------------------------------------------------
 
 
+@query
+def buffer_append_batches(spark, sf_dir):
+    """Events put into a buffer table in three batches without ids or order of their own."""
+    table = f"{_scratch(spark, 'buffer-batches')}/buffer"
+    flows = ad.events(spark, sf_dir).select("event_id", F.unix_micros("ts").alias("micros"))
+    for batch in range(3):
+        part = flows.filter(F.col("event_id") % 3 == batch).orderBy("event_id")
+        rolling.append_flows(part.select("event_id", (F.col("micros") / F.lit(1e6)).alias("timestamp")), table)
+    kept = rolling.survivors(rolling.load_buffer(spark, table), SENSOR_RETENTION)
+    at = F.get_json_object("payload", "$.event_id").cast("bigint")
+    return kept.select(at.alias("event_id"))
+
+
 @query
 def slot_keys(spark, sf_dir):
     ts = F.col("ts")
@@ -625,8 +620,7 @@ def _flow_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
 def flow_csv_scan(spark, sf_dir):
     folder = _scratch(spark, "flow-csv")
     _flow_files(spark, sf_dir, folder)
-    names = flow_csv.header_of(spark, f"{folder}/a")
-    flows = flow_csv.read_flow_csv(spark, f"{folder}/a", names).drop("capture_id")
+    flows = flow_csv.read_flows(spark, folder=folder, merge=True).drop("capture_id")
     aligned = align_flows(flows, ad.FEATURES)
     return aligned.select(
         F.col("event_id").cast("bigint").alias("event_id"),
@@ -665,21 +659,28 @@ def retention_report(spark, sf_dir):
 
 @query
 def stream_window_state(spark, sf_dir):
-    """Hourly states from a stream; the last window of each run is still open."""
+    """Hourly states from a stream. A closing row of a later day, in a second run, ends the last
+    window; its own stays open and is not emitted."""
     ad.configure(spark)
     base = _scratch(spark, "stream-states")
-    ad.narrow_flows(spark, sf_dir).repartitionByRange(4, "timestamp").write.parquet(f"{base}/in")
+    flows = ad.narrow_flows(spark, sf_dir)
+    flows.repartitionByRange(4, "timestamp").write.parquet(f"{base}/in")
     schema = spark.read.parquet(f"{base}/in").schema
-    flows = spark.readStream.schema(schema).parquet(f"{base}/in")
-    states = stream_window_states(align_flows(flows, ad.FEATURES), ad.FEATURES, HOUR)
-    run = (
-        states.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    last = flows.orderBy(F.col("timestamp").desc()).limit(1)
+    for closing in (None, last):
+        if closing is not None:
+            later = F.col("timestamp") + F.expr("INTERVAL 2 DAYS")
+            closing.withColumn("timestamp", later).write.mode("append").parquet(f"{base}/in")
+        read = spark.readStream.schema(schema).parquet(f"{base}/in")
+        states = stream_window_states(align_flows(read, ad.FEATURES), ad.FEATURES, HOUR)
+        run = (
+            states.writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
     return _state_rows(spark.read.parquet(f"{base}/out"), ad.FEATURES)
 
 
@@ -753,7 +754,7 @@ def stream_unique_ids(spark, sf_dir):
 def stream_event_log(spark, sf_dir):
     """Log files streamed into rotated events, read back."""
     base = _scratch(spark, "stream-logs")
-    _write_logs(_self_contained(spark, sf_dir), f"{base}/in")
+    _write_logs(_with_headers(spark, sf_dir), f"{base}/in")
     lines = stream_logs.log_stream(spark, f"{base}/in", "*.txt")
     stream_logs.start_log_stream(
         lines, f"{base}/out", f"{base}/checkpoint", available_now=True

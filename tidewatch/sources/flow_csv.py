@@ -39,7 +39,7 @@ def read_flow_csv(
     paths = [path] if isinstance(path, str) else list(path)
     names = list(names) if names else header_of(spark, paths[0])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    raw = spark.read.csv(
+    raw = spark.read.option("columnPruning", "false").csv(
         paths,
         schema=schema,
         header=True,
@@ -51,9 +51,14 @@ def read_flow_csv(
     # Commas outside quotes; evaluated for irregular lines only.
     fields = F.size(F.split(CORRUPT, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
     too_long = F.col(CORRUPT).isNotNull() & (fields > len(names))
-    fault = F.raise_error(F.concat(F.lit("too many fields in line: "), F.col(CORRUPT)))
-    capture = F.when(too_long, fault.cast("string")).otherwise(F.col("_metadata.file_name"))
-    return raw.select(capture.alias("capture_id"), *[F.col(f"`{n}`") for n in names])
+    # A filter, so that no choice of columns drops the check. It names a column besides the
+    # corrupt one, as Spark refuses to read that alone.
+    named = F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0)
+    fault = F.raise_error(F.concat(F.lit("too many fields in line: "), F.col(CORRUPT), named))
+    readable = F.when(too_long, fault.cast("boolean")).otherwise(True)
+    return raw.filter(readable).select(
+        F.col("_metadata.file_name").alias("capture_id"), *[F.col(f"`{n}`") for n in names]
+    )
 
 
 def capture_headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:

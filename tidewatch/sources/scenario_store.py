@@ -25,7 +25,8 @@ def _folder(store: str, table: str) -> str:
 def save_scenarios(metadata: DataFrame, windows: DataFrame, store: str) -> None:
     """Insert or replace scenarios; those not in the tables stay untouched.
 
-    Both tables carry ``scenario_id``. Each scenario is its own partition, so two writers of
+    A scenario with metadata and no windows loses the windows it had. Both tables carry
+    ``scenario_id``. Each scenario is its own partition, so two writers of
     different scenarios do not meet.
     """
     for df, table in ((windows, "scenario_windows"), (metadata, "scenario_meta")):
@@ -33,6 +34,13 @@ def save_scenarios(metadata: DataFrame, windows: DataFrame, store: str) -> None:
         writer = df.hint("rebalance", SCENARIO).write.mode("overwrite")
         writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(SCENARIO).parquet(_folder(store, table))
+    # Overwriting touches only the partitions that get rows.
+    spark = metadata.sparkSession
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    ids = windows.select(SCENARIO).distinct()
+    for row in metadata.select(SCENARIO).join(ids, SCENARIO, "left_anti").toLocalIterator():
+        part = f"{SCENARIO}={escape.escapePathName(str(row[0]))}"
+        files.delete(spark, f"{_folder(store, 'scenario_windows')}/{part}")
 
 
 def load_table(spark: SparkSession, store: str, table: str) -> DataFrame | None:

@@ -133,7 +133,23 @@ KEYS = "array<struct<k: bigint, at: int, `left`: bigint, `right`: bigint>>"
 
 def keys_udf(seen: np.ndarray, how: Winnow):
     """Keys of the fingerprints that may occur again: hash, first word, and 16 bits of each of
-    the four words before and after (nearest in the lowest bits)."""
+    the four words before and after (nearest in the lowest bits).
+
+    Of equal keys within a text the first is given; the runs of the later ones come without a
+    key, as first word (at) and end (left). So a text that repeats itself adds one row to a
+    common key, however long it is.
+    """
+
+    def equal(own: np.ndarray, a: np.ndarray, b: np.ndarray, sign: int) -> np.ndarray:
+        """How many of the nearest words are the same, going on from places a and b."""
+        same, going = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+        for k in range(LANES):
+            x, y = a + sign * k, b + sign * k
+            inside = (x >= 0) & (y >= 0) & (x < len(own)) & (y < len(own))
+            going &= inside
+            going[going] = own[x[going]] == own[y[going]]
+            same += going
+        return same
 
     def lanes(own: np.ndarray, at: np.ndarray, sign: int) -> np.ndarray:
         short = np.concatenate([own >> np.uint64(48) | np.uint64(1), np.zeros(1, np.uint64)])
@@ -148,6 +164,7 @@ def keys_udf(seen: np.ndarray, how: Winnow):
     def keys(column: pa.Array) -> pa.Array:
         sizes = np.zeros(len(column) + 1, np.int32)
         parts = [[np.zeros(0, np.uint64)] * 4]
+        keyed = [np.zeros(0, bool)]
         offsets = np.arange(0, how.around + 1, how.step)
         for row, own in _rows(column):
             if len(own) < how.passage:
@@ -159,11 +176,31 @@ def keys_udf(seen: np.ndarray, how: Winnow):
             start = (at[:, None] - offsets).ravel()
             start = start[(start >= 0) & (start + how.span <= len(own))]
             start = np.unique(start)
+            if not len(start):
+                continue
             k = run_hash(prefix, start, start + how.span)
-            parts.append([k, start.astype(np.uint64), lanes(own, start - 1, -1), lanes(own, start + how.span, 1)])
-            sizes[row + 1] = len(start)
+            _, first, which = np.unique(k, return_index=True, return_inverse=True)
+            again = first[which] != np.arange(len(start))
+            a, f = start[again], start[first[which[again]]]
+            begin = a - equal(own, a - 1, f - 1, -1)
+            end = a + how.span + equal(own, a + how.span, f + how.span, 1)
+            heads = np.ones(len(a), bool)
+            heads[1:] = begin[1:] > np.maximum.accumulate(end)[:-1]
+            runs = np.flatnonzero(heads)
+            stops = np.maximum.reduceat(end, runs) if len(runs) else end
+            k, start = k[~again], start[~again]
+            none = np.zeros(len(runs), np.uint64)
+            parts.append([
+                np.concatenate([k, none]),
+                np.concatenate([start, begin[runs]]).astype(np.uint64),
+                np.concatenate([lanes(own, start - 1, -1), stops.astype(np.uint64)]),
+                np.concatenate([lanes(own, start + how.span, 1), none]),
+            ])
+            keyed.append(np.arange(len(k) + len(runs)) < len(k))
+            sizes[row + 1] = len(keyed[-1])
         k, at, left, right = (np.concatenate(c) for c in zip(*parts))
-        fields = [pa.array(k.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))]
+        no_key = ~np.concatenate(keyed)
+        fields = [pa.array(k.view(np.int64), mask=no_key), pa.array(at.astype(np.int32)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))]
         flat = pa.StructArray.from_arrays(fields, names=["k", "at", "left", "right"])
         return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
 
@@ -222,19 +259,19 @@ def repeated_runs(docs: DataFrame, how: Winnow) -> DataFrame:
     place = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("th")]
     prints = docs.select(F.explode(fingerprints_udf(how)("text")).alias("h"))
     seen = repeated_filter(prints, how)
-    # The keys are written once and used twice: to find the first of each, and the later ones.
-    found = docs.select(*place, F.explode(keys_udf(seen, how)("text")).alias("x"))
-    keys = written(found.select("id", "th", "x.*"), "line-keys")
+    found = docs.select(*place, F.explode(keys_udf(seen, how)("text")).alias("x")).select("id", "th", "x.*")
+    # Dealt out by key once: the first of each key and the join to it both read that exchange.
+    keys = found.filter("k is not null").repartition("k")
     firsts = (
         keys.groupBy("k").agg(F.min(F.struct("id", "th", "at", "left", "right")).alias("f"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").drop("n")
     )
-    later = keys.join(firsts, "k").filter("id <> f.id or th <> f.th or at <> f.at")
+    later = keys.join(firsts, "k").filter("id <> f.id or th <> f.th")
     a = F.col("at") - _equal_lanes(F.col("left"), F.col("f.left"))
     b = F.col("at") + how.span + _equal_lanes(F.col("right"), F.col("f.right"))
-    return later.select("id", "th", F.struct(a.alias("a"), b.alias("b")).alias("run")).groupBy("id", "th").agg(
-        F.collect_set("run").alias("runs")
-    )
+    own = found.filter("k is null").select("id", "th", F.struct(F.col("at").alias("a"), F.col("left").cast("int").alias("b")).alias("run"))
+    runs = later.select("id", "th", F.struct(a.alias("a"), b.alias("b")).alias("run")).unionByName(own)
+    return runs.groupBy("id", "th").agg(F.collect_set("run").alias("runs"))
 
 
 def with_spans(docs: DataFrame, name: str, how: Winnow = Winnow()) -> DataFrame:

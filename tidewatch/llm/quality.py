@@ -215,8 +215,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, how: Trees = Trees(), kee
 
 def keep_good(docs: DataFrame, labels: DataFrame, how: Trees = Trees(), keep_at: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``keep_at`` or more, columns as given."""
-    known = labels.filter("quality is not null").select("doc_id").distinct()
-    stats = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", statistics_udf("text").alias("stats"))
+    # The statistics of all rows are written, so that labels meet numbers and no text moves.
+    stats = docs.select("doc_id", statistics_udf("text").alias("stats"))
     forest = train(written(stats, "statistics"), labels, how)
     score = fresh(docs, "score")
     return docs.withColumn(score, score_udf(forest)(statistics_udf("text"))).filter(F.col(score) >= keep_at).drop(score)

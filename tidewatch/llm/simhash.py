@@ -271,20 +271,17 @@ def keep_one(docs: DataFrame, search: Search = Search()) -> DataFrame:
 
     Null ids come last; of rows with the same id and text one stays. Columns as given.
     """
-    fp, root, order = fresh(docs, "fp"), fresh(docs, "root"), fresh(docs, "order")
-    marked = written(docs.withColumn(fp, fingerprint_udf(search.words)(F.col("text"))), "marked")
-    prints = written(marked.select(F.col(fp).alias("fp")).distinct(), "distinct-fingerprints")
-    found = components(links(prints, search)).select(F.col("node").alias(fp), F.col("root").alias(root))
-    # Candidates for staying: the least (id, hash of the row) of each fingerprint, then of each
-    # component; sums of this kind are taken before the shuffle, so large groups are harmless.
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
-    firsts = marked.groupBy(fp).agg(F.min(place).alias(order))
-    grouped = firsts.join(found, fp, "left").withColumn(root, F.coalesce(root, fp))
-    winners = grouped.groupBy(root).agg(F.min(order).alias(order)).select(order)
-    keyed = marked.withColumn(order, place)
-    same = keyed[order].eqNullSafe(winners[order])
-    stay = keyed.join(winners, same, "left_semi")
-    return stay.dropDuplicates([order]).select(*docs.columns)
+    # Everything but the last join works on ids, hashes and fingerprints; texts move once.
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("th")]
+    rows = written(docs.select(*own, fingerprint_udf(search.words)(F.col("text")).alias("fp")), "fingerprints")
+    firsts = written(rows.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least")), "distinct-fingerprints")
+    found = components(links(firsts.select("fp"), search))
+    member = firsts.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    own_id, own_hash = fresh(docs, "id"), fresh(docs, "th")
+    keyed = docs.withColumn(own_id, own[0]).withColumn(own_hash, own[1])
+    kept = keyed.join(stay.toDF(own_id, own_hash), [own_id, own_hash], "left_semi")
+    return kept.dropDuplicates([own_id, own_hash]).select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

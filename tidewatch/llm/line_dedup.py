@@ -136,7 +136,7 @@ def keys_udf(seen: np.ndarray, how: Winnow):
     the four words before and after (nearest in the lowest bits).
 
     Of equal keys within a text the first is given; the runs of the later ones come without a
-    key, as first word (at) and end (left). So a text that repeats itself adds one row to a
+    key, as first word (at, as -1 - place) and end (left). So a text that repeats itself adds one row to a
     common key, however long it is.
     """
 
@@ -192,7 +192,7 @@ def keys_udf(seen: np.ndarray, how: Winnow):
             none = np.zeros(len(runs), np.uint64)
             parts.append([
                 np.concatenate([k, none]),
-                np.concatenate([start, begin[runs]]).astype(np.uint64),
+                np.concatenate([start, -1 - begin[runs]]),
                 np.concatenate([lanes(own, start - 1, -1), stops.astype(np.uint64)]),
                 np.concatenate([lanes(own, start + how.span, 1), none]),
             ])
@@ -260,17 +260,20 @@ def repeated_runs(docs: DataFrame, how: Winnow) -> DataFrame:
     prints = docs.select(F.explode(fingerprints_udf(how)("text")).alias("h"))
     seen = repeated_filter(prints, how)
     found = docs.select(*place, F.explode(keys_udf(seen, how)("text")).alias("x")).select("id", "th", "x.*")
-    # Dealt out by key once: the first of each key and the join to it both read that exchange.
-    keys = found.filter("k is not null").repartition("k")
+    # Dealt out by key once: the firsts and the join to them read the same exchange, so the
+    # same columns must be used by both. Runs without a key get one that spreads them.
+    spread = F.coalesce("k", F.xxhash64("id", "th", "at"))
+    keys = found.withColumn("k", spread).repartition("k")
     firsts = (
         keys.groupBy("k").agg(F.min(F.struct("id", "th", "at", "left", "right")).alias("f"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").drop("n")
     )
-    later = keys.join(firsts, "k").filter("id <> f.id or th <> f.th")
+    later = F.expr("id <> f.id or th <> f.th")
     a = F.col("at") - _equal_lanes(F.col("left"), F.col("f.left"))
     b = F.col("at") + how.span + _equal_lanes(F.col("right"), F.col("f.right"))
-    own = found.filter("k is null").select("id", "th", F.struct(F.col("at").alias("a"), F.col("left").cast("int").alias("b")).alias("run"))
-    runs = later.select("id", "th", F.struct(a.alias("a"), b.alias("b")).alias("run")).unionByName(own)
+    own = F.struct((-1 - F.col("at")).alias("a"), F.col("left").cast("int").alias("b"))
+    run = F.when(F.col("at") < 0, own).when(later, F.struct(a.alias("a"), b.alias("b")))
+    runs = keys.join(firsts, "k", "left").select("id", "th", run.alias("run")).filter("run is not null")
     return runs.groupBy("id", "th").agg(F.collect_set("run").alias("runs"))
 
 

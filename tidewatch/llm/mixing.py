@@ -24,7 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Mix:
     """weights: of the sources by code point, null last, repeating. The share of all words
-    that the mix has, as a fraction. cap: times a source's size that its target may reach."""
+    that the mix has, as a fraction. cap: times a source's size that its target may reach.
+    slots_per_task: slots that a task draws and permutes, more where that would make over
+    most_tasks tasks; slots are few bytes but much work, so their bytes must not set it."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
@@ -34,6 +36,8 @@ class Mix:
     rounds: int = 12
     seed: str = "mix"
     rows_per_chunk: int = 4096
+    slots_per_task: int = 16384
+    most_tasks: int = 50_000
 
 
 def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
@@ -84,12 +88,19 @@ def permuted(index: Column, n: Column, key: Column, rounds: int) -> Column:
     every round, and the whole, is a bijection.
     """
 
+    def turn(r: Column) -> Column:
+        name = F.concat_ws(":", key, r.cast("string"))
+        return F.struct(name.alias("name"), (md5_int(name) % n).alias("shift"))
+
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(md5_int(F.concat_ws(":", key, r.cast("string"))) % n - x, n)
-        coin = F.md5(F.concat_ws(":", key, r.cast("string"), F.greatest(x, other).cast("string")))
-        return F.when(F.substring(coin, 1, 1) < "8", other).otherwise(x)
+        def chosen(other: Column) -> Column:
+            coin = F.md5(F.concat_ws(":", r["name"], F.greatest(x, other).cast("string")))
+            return F.when(F.substring(coin, 1, 1) < "8", other).otherwise(x)
+
+        # The partner goes through a one-element array, so that it is computed once.
+        return F.get(F.transform(F.array(F.pmod(r["shift"] - x, n)), chosen), F.lit(0))
 
-    turns = F.sequence(F.lit(0), F.lit(rounds - 1))
+    turns = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), turn)
     return F.aggregate(turns, index.cast("long"), step)
 
 
@@ -136,7 +147,8 @@ def drawn_slots(plan: DataFrame, mix: Mix) -> DataFrame:
     def pick(values: list[int], rank: Column) -> Column:
         return F.element_at(literal(values), rank.cast("int") + 1)
 
-    slots = spark.range(total).select(
+    tasks = min(mix.most_tasks, total // mix.slots_per_task + 1)
+    slots = spark.range(0, total, 1, max(tasks, spark.sparkContext.defaultParallelism)).select(
         F.expr(f"id div {mix.slots}").alias("shard"), F.expr(f"id % {mix.slots}").alias("slot")
     )
     draw = md5_int(F.concat_ws(":", F.lit(mix.seed), F.col("shard").cast("string"), F.col("slot").cast("string")), 15)
@@ -152,7 +164,8 @@ def drawn_slots(plan: DataFrame, mix: Mix) -> DataFrame:
     missing = [max(0, q - g) for g, q in zip(got, quota)]
     surplus_from = [e - v for e, v in zip(ends(surplus), surplus)]
     missing_from = [e - v for e, v in zip(ends(missing), missing)]
-    placed = running_start(counts, ["rank"], "chunk", ["shard"], "n").select(
+    started = running_start(counts, ["rank"], "chunk", ["shard"], "n")
+    placed = started.repartition(tasks, "shard", "rank").select(
         "shard", "rank", "start", F.posexplode("places").alias("j", "slot")
     )
     k = F.col("start") + F.col("j")

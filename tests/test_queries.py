@@ -12,7 +12,7 @@ from tests.check_queries import checker, compare
 SF_DIR = "/root/testdata/sf0.001"
 FAST = (
     "flow_clean window_state_1h window_state_moments signed_log_scale_clip sequence_frames "
-    "hybrid_risk detection_summary risk_band forecast_points top_features rolling_buffer_sensors "
+    "hybrid_risk fit_scaler fit_benign_baseline eval_binary fitted_detection detection_summary risk_band forecast_points top_features rolling_buffer_sensors "
     "rolling_buffer_reinserted buffer_stats flow_summary zeek_parse zeek_conn zeek_generic "
     "scenario_metadata slot_keys normalize_names flow_csv_scan epoch_parse log_times"
 ).split()

@@ -73,7 +73,8 @@ SCALED = f"""{_states('hour')}, scaled AS (SELECT *, greatest({_d(-3.0)}, least(
   (sign(v) * ln(1 + abs(v)) - ({_d(1.0)} + {_d(1.5)} * (dim % 7)))
    / ({_d(2.0)} + {_d(0.5)} * (dim % 5)))) AS s FROM long)"""
 LENGTH = BUNDLE.seq_len
-FRAME = f"""{SCALED}, framed AS (SELECT *, CAST(CAST(s AS FLOAT) AS DOUBLE) AS f,
+def _framed(scaled: str) -> str:
+    return f"""{scaled}, framed AS (SELECT *, CAST(CAST(s AS FLOAT) AS DOUBLE) AS f,
   row_number() OVER (PARTITION BY capture_id, dim ORDER BY w) - 1 - {LENGTH} AS step_index
   FROM scaled), seqs AS (SELECT *,
   first_value(f) OVER back AS fa, lag(f) OVER byw AS fz, sum(f) OVER back AS fs
@@ -82,6 +83,9 @@ FRAME = f"""{SCALED}, framed AS (SELECT *, CAST(CAST(s AS FLOAT) AS DOUBLE) AS f
   QUALIFY step_index >= 0)"""
 
 
+FRAME = _framed(SCALED)
+
+
 def _pick(values) -> str:
     """Formula table as a list indexed by the dimension."""
     return "[" + ", ".join(_d(v) for v in values) + "][dim + 1]"
@@ -108,7 +112,8 @@ def _stage(cls: str) -> str:
     return f"CASE {cls} {cases} ELSE 'Unknown' END"
 
 
-def _scored() -> str:
+def _scored(frame: str = FRAME, between: str = "", baseline: tuple[str, str] | None = None) -> str:
+    """between: tables over the sums, such as a baseline that is fitted on them."""
     sums = []
     for k in range(BUNDLE.k_steps):
         state = _ahead(k)
@@ -121,12 +126,12 @@ def _scored() -> str:
         for k in range(BUNDLE.k_steps)
     ]
     probs = [f"1 / (1 + exp(-l{k})) AS p{k}" for k in range(BUNDLE.k_steps)]
-    mean, std = BUNDLE.baseline["mean"], BUNDLE.baseline["std"]
-    return f"""{FRAME}, sums AS (SELECT capture_id, step_index, w, any_value(flow_count) AS
+    mean, std = baseline or (_d(BUNDLE.baseline["mean"]), _d(BUNDLE.baseline["std"]))
+    return f"""{frame}, sums AS (SELECT capture_id, step_index, w, any_value(flow_count) AS
   flow_count, avg(({_ahead(1)} - s) * ({_ahead(1)} - s)) AS mse, {', '.join(sums)}
-  FROM seqs GROUP BY 1, 2, 3),
-heads AS (SELECT *, {', '.join(picks)}, {', '.join(probs)}, 1 / (1 + exp(-((mse - {_d(mean)})
-  / {_d(std + 1e-8)} - 3))) AS cal FROM sums),
+  FROM seqs GROUP BY 1, 2, 3),{between}
+heads AS (SELECT *, {', '.join(picks)}, {', '.join(probs)}, 1 / (1 + exp(-((mse - {mean})
+  / ({std} + {_d(1e-8)}) - 3))) AS cal FROM sums),
 risks AS (SELECT *, greatest(p0, cal) AS risk FROM heads),
 windows AS (SELECT *, round(risk, 4) AS current_risk,
   {_stage(f'(CASE WHEN risk < {THRESHOLD} THEN 0 ELSE m0 END)')} AS current_stage FROM risks)"""
@@ -153,6 +158,21 @@ SUMMARY = f"""SELECT capture_id, count(*) AS total_windows_evaluated,
   THEN '{VERDICT_ATTACK}' ELSE '{VERDICT_CLEAR}' END AS verdict FROM windows GROUP BY capture_id"""
 
 
+MARKS = """marks AS (SELECT user_id % 4 AS capture_id, date_trunc('hour', ts) AS w,
+  4 * count(*) FILTER (event_type = 'purchase') > count(*) AS attack FROM events GROUP BY 1, 2)"""
+LOGGED = f"""{_states('hour')}, logged AS (SELECT *, sign(v) * ln(1 + abs(v)) AS g FROM long),
+scaler AS (SELECT dim, avg(g) AS mean, CASE WHEN min(v) = max(v) THEN 1 ELSE stddev_pop(g) END
+  AS scale FROM logged GROUP BY dim)"""
+REFITTED = f"""{LOGGED}, scaled AS (SELECT l.*, greatest({_d(-3.0)}, least({_d(3.0)},
+  (g - mean) / scale)) AS s FROM logged l JOIN scaler USING (dim))"""
+BASELINE = f"""{MARKS}, base AS (SELECT avg(mse) AS mean, stddev_pop(mse) AS std, count(*) AS
+  windows FROM sums JOIN marks USING (capture_id, w) WHERE NOT attack)"""
+
+
+def _share(of: str, whole: str) -> str:
+    return f"round(CAST({of} AS DOUBLE) / nullif({whole}, 0), 6)"
+
+
 # --- rolling buffer -----------------------------------------------------------------
 
 SHUFFLED = f"((event_id * 7919) % 10007 * {1 << 40} + event_id)"
@@ -357,6 +377,19 @@ ranked AS (SELECT *, max(v) OVER g AS top, row_number() OVER (PARTITION BY captu
   ORDER BY v DESC, dim) - 1 AS r FROM imp WINDOW g AS (PARTITION BY capture_id, step_index))
 SELECT capture_id, step_index, CAST(r AS INTEGER) AS rank, {_text(NAMES)}[dim + 1] AS feature,
   round(v / CASE WHEN top > 0 THEN top ELSE 1 END, 4) AS importance FROM ranked WHERE r < 3""",
+    "fit_scaler": f"""WITH {LOGGED} SELECT CAST(dim AS INTEGER) AS dim, round(mean, 6) AS mean,
+  round(scale, 6) AS scale FROM scaler""",
+    "fit_benign_baseline": f"""WITH {_scored(between=BASELINE + ',')} SELECT round(mean, 6) AS mean,
+  round(std, 6) AS std, windows FROM base""",
+    "eval_binary": f"""WITH {_scored()}, {MARKS}, c AS (SELECT
+  count(*) FILTER (p AND attack) AS tp, count(*) FILTER (p AND NOT attack) AS fp,
+  count(*) FILTER (NOT p AND attack) AS fn, count(*) FILTER (NOT p AND NOT attack) AS tn
+  FROM (SELECT capture_id, w, current_risk >= {THRESHOLD} AS p FROM windows)
+  JOIN marks USING (capture_id, w)) SELECT *, {_share('tp', 'tp + fp')} AS precision,
+  {_share('tp', 'tp + fn')} AS recall, {_share('2 * tp', '2 * tp + fp + fn')} AS f1,
+  {_share('fp', 'fp + tn')} AS false_positive_rate FROM c""",
+    "fitted_detection": f"""WITH {_scored(_framed(REFITTED), BASELINE + ',',
+  ('(SELECT mean FROM base)', '(SELECT std FROM base)'))} {SUMMARY}""",
     "tactic_names": f"""SELECT {_stage('(event_id % 9)')} AS tactic, count(*) AS n FROM events
   GROUP BY 1""",
     "state_dimension_names": f"""WITH i AS (SELECT event_id % {WIDTH + 2} AS i FROM events)

@@ -13,7 +13,7 @@ from tidewatch.functions import names as fnames
 from tidewatch.functions import numeric, timeparse
 from tidewatch.operators import buffer as rolling
 from tidewatch.operators import detect as detection
-from tidewatch.operators import normalize, retention, rotation
+from tidewatch.operators import fitting, normalize, retention, rotation
 from tidewatch.operators.flows import align_flows
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
 from tidewatch.operators.states import state_dimensions, window_states
@@ -276,6 +276,57 @@ def state_dimension_names(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- fitting and evaluation ---------------------------------------------------------
+
+
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the hourly windows: more than a quarter of purchases stands for an attack."""
+    start = F.window("ts", HOUR)["start"].alias("window_start")
+    attack = 4 * F.count(F.when(F.col("event_type") == "purchase", 1)) > F.count(F.lit(1))
+    capture = (F.col("user_id") % 4).alias("capture_id")
+    return ad.events(spark, sf_dir).groupBy(capture, start).agg(attack.alias("attack"))
+
+
+@query
+def fit_scaler(spark, sf_dir):
+    return fitting.fit_scaler(_states(spark, sf_dir)).select(
+        "dim", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale")
+    )
+
+
+@query
+def fit_benign_baseline(spark, sf_dir):
+    bundle = ad.formula_bundle()
+    seqs = sequences(_scaled(spark, sf_dir), bundle.seq_len, bundle.window_size)
+    errors = fitting.reconstruction_errors(seqs, bundle, ad.formula_scorer(len(bundle.names)))
+    marked = errors.join(_marks(spark, sf_dir), ["capture_id", "window_start"])
+    return fitting.fit_benign_baseline(marked, ~F.col("attack")).select(
+        F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "windows"
+    )
+
+
+@query
+def eval_binary(spark, sf_dir):
+    marked = _linear_windows(spark, sf_dir).join(
+        _marks(spark, sf_dir), ["capture_id", "window_start"]
+    )
+    found = fitting.eval_binary(marked, F.col("current_risk") >= THRESHOLD, F.col("attack"))
+    measures = ("precision", "recall", "f1", "false_positive_rate")
+    return found.select("tp", "fp", "fn", "tn", *[F.round(m, 6).alias(m) for m in measures])
+
+
+@query
+def fitted_detection(spark, sf_dir):
+    """Detection with a bundle whose scaling and baseline are fitted on the same flows."""
+    plain = ad.formula_bundle()
+    scorer = ad.formula_scorer(len(plain.names))
+    bundle = fitting.fitted_bundle(
+        _states(spark, sf_dir), _marks(spark, sf_dir), ["capture_id"], plain, scorer
+    )
+    windows = detection.scored_windows(ad.narrow_flows(spark, sf_dir), bundle, scorer)
+    return detection.detection_summary(windows, bundle.threshold)
+
+
 # --- scenario store -----------------------------------------------------------------
 
 

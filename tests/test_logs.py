@@ -161,3 +161,28 @@ def test_rotated_sink(spark, tmp_path):
     assert '"duration":null' in bare.json
     with pytest.raises(KeyError):
         json.loads(bare.json)["query"]
+
+
+def test_many_headers_in_a_block_do_not_multiply_lines(spark, tmp_path):
+    """A line meets one state, whatever the number of headers around it."""
+    text = "".join(
+        header(f"p{i}", ["n", "v"]) + "".join(f"{i * 50 + j}\tx\n" for j in range(50)) for i in range(40)
+    )
+    (tmp_path / "conn.log").write_text(text)
+    lines = zeek.read_log_lines(spark, str(tmp_path))
+    split = zeek.split_lines(lines)
+    assert "BroadcastNestedLoopJoin" not in split._jdf.queryExecution().toString()
+    rows = split.select("path", F.get("parts", F.lit(0)).cast("int").alias("n")).collect()
+    assert sorted(r.n for r in rows) == list(range(2000))
+    assert all(r.path == f"p{r.n // 50}" for r in rows)
+    begins = F.array(*[F.lit(v) for v in (0, 10, 20, 30, 40)])
+    found = spark.range(1, 60).select("id", zeek.last_at_or_before(begins, F.col("id")).alias("at")).collect()
+    assert all(r.at == min(4, r.id // 10) for r in found)
+
+
+def test_broadcast_check_measures_rows(spark):
+    from tidewatch.plans.materialize import fits_broadcast, written, written_bytes
+
+    wide = written(spark.range(20_000).select(F.lit("y" * 2_000).alias("v")), "wide")
+    assert written_bytes(wide) < 1 << 20 and not fits_broadcast(wide, 1 << 20)
+    assert fits_broadcast(wide.limit(0))

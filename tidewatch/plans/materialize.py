@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.plans import files
 from tidewatch.session import shared_dir
 
-# A side is broadcast only up to this many bytes on disk.
+# A side is broadcast only up to this many bytes, on disk and as rows.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -60,6 +60,18 @@ def written_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a written table take at most ``limit`` bytes.
+
+    Files of repeated values are far smaller than their rows, so the rows are measured, too:
+    the bytes of each as text, with room for the hash table.
+    """
+    if written_bytes(df) > limit:
+        return False
+    width = F.octet_length(F.to_json(F.struct("*"))).cast("bigint") + 64
+    return (df.agg(F.sum(width)).first()[0] or 0) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint for a written table that is small enough, else ``df`` as it is."""
-    return F.broadcast(df) if written_bytes(df) <= limit else df
+    """Broadcast hint for a written table whose rows are small enough, else ``df`` as it is."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

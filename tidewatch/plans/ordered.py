@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.plans.materialize import BROADCAST_BYTES, written, written_bytes
+from tidewatch.plans.materialize import fits_broadcast, written
 
 # A chunk spans 2**20 positions; each further level joins 2**12 chunks, so the top level
 # has at most 2**19 rows per key for any non-negative 64-bit position.
@@ -76,7 +76,7 @@ def with_later_max(
     tops = written(df.groupBy(*keys, chunk).agg(F.max(value).alias("_top")), "chunk-max")
     later = chunk_later_max(tops, keys, bits, limit)
     # One row per chunk in both, so the written table's size is the carry's, too.
-    if written_bytes(tops) <= BROADCAST_BYTES:
+    if fits_broadcast(tops):
         later = F.broadcast(later)
     rows = df.withColumn("_chunk", chunk).join(later, [*keys, "_chunk"])
     if drop_below is not None:

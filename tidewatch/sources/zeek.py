@@ -2,8 +2,9 @@
 
 Works on lines with an order (``file``, ``block``, ``pos``, ``value``), where a block is one
 input split. The header in force at a line is the latest one above it in the file. Header
-lines are few, so their states are computed first, once per block, and data lines look up
-the state of their own block: the log itself is never shuffled or sorted.
+lines are few, so their states are computed first. Each block gets one row with the places
+where its states begin, in which a data line searches; what a state says is kept apart, once
+for each different header.
 """
 
 from __future__ import annotations
@@ -61,17 +62,17 @@ def literal_split(text: Column, separator: Column) -> Column:
 
 def _separator_value(line: Column) -> Column:
     """Separator named by a '#separator' line; '\\x09' is a character code."""
-    given = F.substring(line, len("#separator ") + 1, 1 << 20)
-    code = F.conv(F.substring(given, 3, 8), 16, 10).try_cast("int")
+    given = F.substr(line, F.lit(len("#separator ") + 1))
+    code = F.conv(F.substr(given, F.lit(3)), 16, 10).try_cast("int")
     return F.when(given.startswith("\\x"), F.chr(code)).otherwise(given)
 
 
 def header_states(lines: DataFrame) -> DataFrame:
-    """Header state per stretch of lines: [``from_pos``, ``to_pos``) of one file block.
+    """Header state from a line on, up to the next row of the same file block.
 
     Each block opens with the state carried over from the blocks before it. Columns: file,
-    block, from_pos, to_pos, separator, set_separator, empty_field, unset_field, path,
-    types, fields (null until a '#fields' line).
+    block, from_pos, separator, set_separator, empty_field, unset_field, path, types, fields
+    (null until a '#fields' line).
     """
     is_directive = F.col("value").rlike(DIRECTIVE)
     per_block = lines.groupBy("file", "block").agg(
@@ -97,13 +98,12 @@ def header_states(lines: DataFrame) -> DataFrame:
         latest("#separator", _separator_value(F.col("value")), DEFAULT_SEPARATOR),
     )
     # '#fields' and '#types' are cut by the separator in force on their own line.
-    names = F.slice(literal_split(F.col("value"), F.col("separator")), 2, 1 << 20)
-    following = Window.partitionBy("file", "block").orderBy("pos")
+    cells = literal_split(F.col("value"), F.col("separator"))
+    names = F.slice(cells, F.lit(2), F.size(cells))
     return with_separator.select(
         "file",
         "block",
         F.col("pos").alias("from_pos"),
-        F.lead("pos", 1, (1 << 63) - 1).over(following).alias("to_pos"),
         "separator",
         latest("#set_separator", argument, DEFAULT_SET_SEPARATOR).alias("set_separator"),
         latest("#empty_field", argument, DEFAULT_EMPTY).alias("empty_field"),
@@ -114,14 +114,45 @@ def header_states(lines: DataFrame) -> DataFrame:
     )
 
 
+def last_at_or_before(begins: Column, pos: Column) -> Column:
+    """Index, from 0, of the last entry of a sorted array that is not beyond ``pos``.
+
+    A binary search by halving steps; the first entry counts as never beyond.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+
+    def move(at: Column, step: Column) -> Column:
+        there = F.get(begins, at + step)  # null past the end
+        return F.when(there <= pos, at + step).otherwise(at)
+
+    within = F.filter(steps, lambda step: step < F.size(begins))
+    return F.when(F.size(begins) == 1, 0).otherwise(F.aggregate(within, F.lit(0), move))
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
-    """Data lines with the header state in force and their ``parts``."""
-    states = broadcast_if_small(written(header_states(lines), "log-headers"))
-    data = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#"))
-    in_force = (F.col("pos") >= F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))
-    headed = data.join(states, ["file", "block"]).filter(
-        in_force & F.col("fields").isNotNull() & (F.size("fields") > 0)
+    """Data lines with the header state in force and their ``parts``.
+
+    A line meets one row, that of its block, however many headers the block has.
+    """
+    states = header_states(lines)
+    said = [c for c in states.columns if c not in ("file", "block", "from_pos")]
+    states = states.withColumn("_header", F.sha2(F.to_json(F.struct(*said)), 256))
+    states = written(states, "log-states")
+    begin = F.sort_array(F.collect_list(F.struct("from_pos", "_header")))
+    blocks = broadcast_if_small(
+        written(
+            states.groupBy("file", "block").agg(begin.alias("_s")).select(
+                "file", "block", F.col("_s.from_pos").alias("_begins"), F.col("_s._header").alias("_headers")
+            ),
+            "log-blocks",
+        )
     )
+    usable = states.filter(F.size("fields") > 0).dropDuplicates(["_header"])
+    headers = broadcast_if_small(written(usable.select("_header", *said), "log-headers"))
+    data = lines.filter((F.col("value") != "") & ~F.col("value").startswith("#"))
+    found = F.get("_headers", last_at_or_before(F.col("_begins"), F.col("pos")))
+    placed = data.join(blocks, ["file", "block"]).withColumn("_header", found)
+    headed = placed.drop("_begins", "_headers").join(headers, "_header").drop("_header")
     return computed_once(headed, "parts", literal_split(F.col("value"), F.col("separator")))
 
 

@@ -201,3 +201,36 @@ def test_long_line_fails_whatever_is_read(spark, tmp_path):
     for read in (flows.drop("capture_id").collect, flows.count, flows.select("a").collect, flows.agg({"b": "max"}).collect):
         with pytest.raises(Exception, match="too many fields"):
             read()
+
+
+def test_each_file_by_its_own_header(spark, tmp_path):
+    write(tmp_path / "m" / "one.csv", 'timestamp,dst_port,protocol\nt1,443,6\n\n"t,2",80\n')
+    write(tmp_path / "m" / "two.csv", "timestamp,protocol,dst_port\nt3,17,53\n")
+    write(tmp_path / "m" / "three.csv", "protocol,note,timestamp\n1,x,t4\n")
+    flows = read_flow_csv(spark, str(tmp_path / "m"))
+    rows = {tuple(r) for r in flows.select("capture_id", "timestamp", "dst_port", "protocol", "note").collect()}
+    assert rows == {
+        ("one.csv", "t1", "443", "6", None), ("one.csv", "t,2", "80", None, None),
+        ("two.csv", "t3", "53", "17", None), ("three.csv", "t4", None, "1", "x"),
+    }
+    write(tmp_path / "m" / "four.csv", "note,timestamp\na,b,\n")
+    flows = read_flow_csv(spark, str(tmp_path / "m"))
+    for read in (flows.count, flows.select("note").collect):
+        with pytest.raises(Exception, match="too many fields"):
+            read()
+
+
+def test_own_headers_reach_every_split(spark, tmp_path):
+    lines = [f"{i},{i * 2}" for i in range(400)]
+    write(tmp_path / "s" / "one.csv", "\n".join(["a,b", *lines]) + "\n")
+    write(tmp_path / "s" / "two.csv", "\n".join(["b,a", *lines]) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_flow_csv(spark, str(tmp_path / "s")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = sorted((r.capture_id, int(r.a), int(r.b)) for r in rows)
+    assert got == sorted([("one.csv", i, i * 2) for i in range(400)] + [("two.csv", i * 2, i) for i in range(400)])

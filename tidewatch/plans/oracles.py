@@ -477,6 +477,9 @@ SELECT event_id FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN CURRENT R
   FROM events""",
     "flow_csv_scan": f"""WITH {CLEAN} SELECT event_id, {AT.format('ts')} AS at,
   round(round(x2 / 10000) * {_d(1e6)}, 3) AS duration, round(x3, 3) AS packets FROM flows""",
+    "flow_csv_orders": f"""WITH {CLEAN} SELECT event_id, {AT.format('ts')} AS at,
+  CAST(x0 AS BIGINT) AS dst_port, round(round(x2 / 10000) * {_d(1e6)}, 3) AS duration,
+  round(x3, 3) AS packets FROM flows""",
     "flow_csv_merge": f"""SELECT count(*) AS flows, count(*) FILTER (user_id % 2 = 0) AS with_cwr,
   CAST(sum({PORT}) AS BIGINT) AS ports FROM events""",
     "retention_report": """SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT hour(ts)) AS

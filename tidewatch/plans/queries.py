@@ -681,6 +681,25 @@ def flow_csv_scan(spark, sf_dir):
     )
 
 
+@query
+def flow_csv_orders(spark, sf_dir):
+    """Files of one folder whose columns stand in three different orders."""
+    folder = _scratch(spark, "flow-csv")
+    flows = ad.narrow_flows(spark, sf_dir).withColumn("timestamp", _at("timestamp"))
+    flows = flows.withColumn("flow_duration", F.round(F.col("flow_duration") * 100).cast("bigint"))
+    names = sorted(c for c in flows.columns if c != "capture_id")
+    for i, order in enumerate((names, names[::-1], names[3:] + names[:3])):
+        flows.filter(F.col("event_id") % 3 == i).select(*order).write.mode("append").csv(folder, header=True)
+    aligned = align_flows(flow_csv.read_flow_csv(spark, folder).drop("capture_id"), ad.FEATURES)
+    return aligned.select(
+        F.col("event_id").cast("bigint").alias("event_id"),
+        _at("Timestamp").alias("at"),
+        F.col("Dst Port").cast("bigint").alias("dst_port"),
+        F.round("Flow Duration", 3).alias("duration"),
+        F.round("Tot Fwd Pkts", 3).alias("packets"),
+    )
+
+
 @query
 def flow_csv_merge(spark, sf_dir):
     folder = _scratch(spark, "flow-csv")

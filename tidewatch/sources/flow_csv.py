@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.plans.materialize import broadcast_if_small, computed_once, written
+
 CORRUPT = "_corrupt_record"
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names on the first line; a repeated name gets a number."""
-    first = spark.read.csv(path, header=False).first()
+#: A comma outside quotes.
+COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _named(cells: Sequence[str]) -> list[str]:
+    """Column names of a header's cells; an empty or repeated name gets a number."""
     seen: dict[str, int] = {}
     names = []
-    for i, cell in enumerate(first or []):
+    for i, cell in enumerate(cells):
         name = cell if cell else f"Unnamed: {i}"
         if name in seen:
             seen[name] += 1
@@ -28,19 +33,75 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def read_flow_csv(
-    spark: SparkSession, path: str | Sequence[str], names: Sequence[str] | None = None
-) -> DataFrame:
-    """Flows of one or more files that share a header, with ``capture_id`` = file name.
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names on the first line of a file."""
+    first = spark.read.csv(path, header=False).first()
+    return _named([cell or "" for cell in first or []])
 
-    A line with fewer fields than the header is filled with nulls; one with more fails the
-    job, as the file is then unreadable.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    names = list(names) if names else header_of(spark, paths[0])
+
+def _lines(spark: SparkSession, paths: Sequence[str], **options: str) -> DataFrame:
+    text = spark.read.options(**options).text(list(paths))
+    return text.filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_name").alias("capture_id"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"),
+        F.col("value").alias("_line"),
+    )
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """The first line of each file, as a written table: _file, _header, _from."""
+    first = lines.filter("_block = 0").groupBy("_file").agg(
+        F.min_by("_line", "_pos").alias("_header"), F.min("_pos").alias("_from")
+    )
+    return written(first, "csv-headers")
+
+
+def distinct_headers(headers: DataFrame) -> dict[str, list[str]]:
+    """Header line -> its column names. Only different header lines reach the driver."""
+    found = sorted(r[0] for r in headers.select("_header").distinct().toLocalIterator())
+    return {line: _named(next(csv.reader([line]))) for line in found}
+
+
+def _by_own_header(
+    lines: DataFrame, headers: DataFrame, known: dict[str, list[str]]
+) -> DataFrame:
+    """Flows of files with different headers, each cut by the header of its own file."""
+    width = max(map(len, known.values()))
+    which = F.array_position(F.array(*map(F.lit, known)), F.col("_header")).cast("int")
+    place = broadcast_if_small(headers).withColumn("_which", which).drop("_header")
+    rows = lines.join(place.filter("_which > 0"), "_file")
+    rows = rows.filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_from")))
+    sizes = F.array(*[F.lit(len(names)) for names in known.values()])
+    limit = F.get(sizes, F.col("_which") - 1)
+    commas = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit(",")))
+    # Quotes are looked at only in lines with commas enough.
+    too_long = F.when(commas >= limit, F.size(F.split("_line", COMMA, -1)) > limit).otherwise(False)
+    fault = F.raise_error(F.concat(F.lit("too many fields in line: "), F.col("_line")))
+    rows = rows.filter(F.when(too_long, fault.cast("boolean")).otherwise(True))
+    shape = ", ".join(f"c{i} string" for i in range(width))
+    rows = computed_once(rows, "_cells", F.from_csv("_line", shape))
+
+    def column(name: str) -> Column:
+        cells = [
+            F.when(F.col("_which") == k, F.col(f"_cells.c{names.index(name)}"))
+            for k, names in enumerate(known.values(), 1)
+            if name in names
+        ]
+        return F.coalesce(*cells).alias(name)
+
+    columns = list(dict.fromkeys(name for names in known.values() for name in names))
+    return rows.select("capture_id", *map(column, columns))
+
+
+def _by_one_header(
+    spark: SparkSession, paths: Sequence[str], names: Sequence[str], **options: str
+) -> DataFrame:
+    """Flows of files that share a header."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    raw = spark.read.option("columnPruning", "false").csv(
-        paths,
+    raw = spark.read.options(**options).option("columnPruning", "false").csv(
+        list(paths),
         schema=schema,
         header=True,
         mode="PERMISSIVE",
@@ -48,8 +109,8 @@ def read_flow_csv(
         # Fields are counted over the whole line even if few columns are used.
         enforceSchema=True,
     )
-    # Commas outside quotes; evaluated for irregular lines only.
-    fields = F.size(F.split(CORRUPT, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+    # Evaluated for irregular lines only.
+    fields = F.size(F.split(CORRUPT, COMMA, -1))
     too_long = F.col(CORRUPT).isNotNull() & (fields > len(names))
     # A filter, so that no choice of columns drops the check. It names a column besides the
     # corrupt one, as Spark refuses to read that alone.
@@ -61,30 +122,30 @@ def read_flow_csv(
     )
 
 
-def capture_headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Header -> files, for the CSV files below a folder. One small read per file group."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .text(folder)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            "value",
-        )
-    )
-    firsts = (
-        lines.filter("block = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "pos").alias("header"))
-        .groupBy("header")
-        .agg(F.collect_list("file").alias("files"))
-    )
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts.toLocalIterator():
-        groups[tuple(header_of(spark, sorted(row["files"])[0]))] = sorted(row["files"])
-    return groups
+def read_flow_csv(
+    spark: SparkSession, path: str | Sequence[str], names: Sequence[str] | None = None, **options: str
+) -> DataFrame:
+    """Flows of one or more files, with ``capture_id`` = file name.
+
+    Each file is read by its own header, columns it lacks are null; ``names`` states the
+    header that all files share. A line with fewer fields than the header is filled with
+    nulls; one with more fails the job, as the file is then unreadable.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if names:
+        return _by_one_header(spark, paths, names, **options)
+    lines = _lines(spark, paths, **options)
+    headers = file_headers(lines)
+    known = distinct_headers(headers)
+    if not known:
+        raise FileNotFoundError(f"no line in {paths}")
+    if len(known) == 1:
+        return _by_one_header(spark, paths, *known.values(), **options)
+    return _by_own_header(lines, headers, known)
+
+
+#: What counts as a capture below a folder.
+CAPTURES = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
 
 
 def read_captures(
@@ -95,15 +156,12 @@ def read_captures(
     ``capture_id`` tells the files apart in either form; merged tables get null for columns
     a file lacks.
     """
-    tables = [
-        read_flow_csv(spark, files, names)
-        for names, files in sorted(capture_headers(spark, folder).items())
-    ]
-    if not merge:
-        return tables
-    if not tables:
-        raise FileNotFoundError(f"no CSV file below {folder}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if merge:
+        return read_flow_csv(spark, folder, **CAPTURES)
+    lines = _lines(spark, [folder], **CAPTURES)
+    headers = file_headers(lines)
+    known = distinct_headers(headers)
+    return [_by_own_header(lines, headers, {line: names}) for line, names in known.items()]
 
 
 def read_flows(

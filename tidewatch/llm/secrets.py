@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,17 @@ ESCAPE = re.compile(
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
+#: Bytes that may stand inside a match or an encoded run; inflated data is cut at others.
+INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\{}&#;\"':* \0"
 @dataclass(frozen=True)
 class Unwrap:
-    """Guards against inflating input: the most characters of one decompressed layer and the
-    most layers of a text. What is beyond them is counted as unscanned, never passed over
-    silently."""
+    """piece: bytes of inflated data that are scanned at a time. A caller may also set the most
+    characters of one decompressed layer and the most layers of a text; what is beyond them is
+    counted as unscanned. Without them everything is scanned."""
 
-    layer_chars: int = 1 << 26
-    layers: int = 10_000
+    layer_chars: int | None = None
+    layers: int | None = None
+    piece: int = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -117,27 +121,94 @@ def _from_escape(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else ""
 
 
-def _inflate(raw: bytes, how: Unwrap) -> tuple[bytes, bool]:
-    """Compressed bytes laid open, layer by layer; whether something was left beyond the guard."""
-    seen = set()
-    while raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-        mark = hashlib.sha1(raw).digest()
-        if mark in seen:
-            break
-        seen.add(mark)
-        opened = zlib.decompressobj(47)
-        try:
-            raw = opened.decompress(raw, how.layer_chars)
-        except zlib.error:
-            break
-        if opened.unconsumed_tail:
-            return raw, True
-    return raw, False
+def _is_packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")
 
 
-def _from_base64(layer: Layer, how: Unwrap):
-    """Layers of the base64 runs that hold readable text, and how many went past the guard."""
-    out, beyond = [], 0
+def _opened(blocks):
+    """Blocks of what compressed blocks hold, all members of them; bytes that do not inflate stay."""
+    tool, inside = zlib.decompressobj(47), False
+    for block in blocks:
+        while block:
+            try:
+                out = tool.decompress(block, BLOCK)
+            except zlib.error:
+                yield block
+                yield from blocks
+                return
+            inside = True
+            if out:
+                yield out
+            block = tool.unconsumed_tail
+            if tool.eof:
+                block, tool = tool.unused_data, zlib.decompressobj(47)
+                inside = False
+    if inside:
+        yield tool.flush()
+
+
+BLOCK = 1 << 16
+
+
+def _inflated(blocks):
+    """Blocks laid open layer by layer, as long as they begin like compressed ones."""
+    seen = set()
+    while True:
+        blocks = iter(blocks)
+        head = b""
+        while len(head) < BLOCK and (block := next(blocks, None)) is not None:
+            head += block
+        mark = hashlib.sha1(head).digest()
+        if not _is_packed(head) or mark in seen:
+            return chain([head], blocks)
+        seen.add(mark)
+        blocks = _opened(chain([head], blocks))
+
+
+def _pieces(blocks, size: int):
+    """Blocks joined to pieces of about ``size`` that end where no match or run goes on."""
+    held, n, target = [], 0, size
+    for block in blocks:
+        held.append(block)
+        n += len(block)
+        if n >= target:
+            whole = b"".join(held)
+            cut = len(whole.rstrip(INNER))
+            if cut:
+                yield whole[:cut]
+            held, n = [whole[cut:]], len(whole) - cut
+            target = max(size, 2 * n)
+    if n:
+        yield b"".join(held)
+
+
+def _texts(raw: bytes):
+    """Bytes as text: every pattern is ASCII, so Latin-1 shows what UTF-8 would."""
+    yield raw.decode("latin-1")
+
+
+def _layers_of(blocks, span: tuple[int, int], how: Unwrap, beyond: list):
+    """Layers of the blocks, one after the other; a layer past ``layer_chars`` is noted."""
+    left = how.layer_chars
+
+    def guarded(blocks):
+        nonlocal left
+        for block in blocks:
+            if left is not None and len(block) > left:
+                beyond.append(span)
+                yield block[:left]
+                return
+            left = None if left is None else left - len(block)
+            yield block
+
+    for piece in _pieces(guarded(_inflated(blocks)), how.piece):
+        for text in _texts(piece):
+            if text:
+                yield Layer(text, *span)
+
+
+def _from_base64(layer: Layer, how: Unwrap, beyond: list):
+    """Layers of the base64 runs."""
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=")
         if len(body) % 4 == 1:
@@ -146,72 +217,56 @@ def _from_base64(layer: Layer, how: Unwrap):
             raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        raw, cut = _inflate(raw, how)
-        beyond += cut
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if text and sum(c.isprintable() or c in "\r\n\t" for c in text) == len(text):
-            out.append(Layer(text, *layer.span(m.start(), m.end())))
-    return out, beyond
+        yield from _layers_of([raw], layer.span(m.start(), m.end()), how, beyond)
 
 
 def scan(text: str, how: Unwrap = Unwrap()) -> tuple[list, list, int, int]:
     """Base spans, all spans, how many layers were scanned and how many things were not."""
     base = base_spans(text)
-    found, beyond, layers = set(base), 0, 1
-    work: list[Layer] = []
+    found, layers = set(base), 1
+    beyond: list = []
     seen: set = set()
 
-    def push(layer: Layer | None) -> None:
-        if layer is None:
-            return
+    def is_new(layer: Layer) -> bool:
         if isinstance(layer.start, int):
             place = (layer.start, layer.end)
         else:
             place = hashlib.sha1(layer.start.tobytes()).digest()
         mark = (hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest(), place)
-        if mark not in seen:
-            seen.add(mark)
-            work.append(layer)
+        new = mark not in seen
+        seen.add(mark)
+        return new
 
-    def unwrap(layer: Layer) -> None:
-        nonlocal beyond
+    def unwrapped(layer: Layer):
+        """The layers within a layer, made one at a time."""
         if "%" in layer.text:
-            push(_substituted(_placed(layer), URL, _from_url))
+            if inner := _substituted(layer, URL, _from_url):
+                yield inner
         if "\\" in layer.text or "&#" in layer.text:
-            push(_substituted(_placed(layer), ESCAPE, _from_escape))
-        inner, cut = _from_base64(_placed(layer) if layer is root else layer, how)
-        beyond += cut
-        for x in inner:
-            push(x)
-
-    identity: list[Layer] = []
-
-    def _placed(layer: Layer) -> Layer:
-        # The arrays of the original text are made only where something is decoded.
-        if layer is not root:
-            return layer
-        if not identity:
-            at = np.arange(len(text))
-            identity.append(Layer(text, at, at + 1))
-        return identity[0]
-
-    root = Layer(text, 0, 0)
+            if inner := _substituted(layer, ESCAPE, _from_escape):
+                yield inner
+        yield from _from_base64(layer, how, beyond)
+
+    work = []
     if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
-        unwrap(root)
+        at = np.arange(len(text))
+        work.append(unwrapped(Layer(text, at, at + 1)))
     while work:
-        if layers >= how.layers:
-            beyond += len(work)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not is_new(layer):
+            continue
+        if how.layers is not None and layers >= how.layers:
+            beyond.append(None)
             break
-        layer = work.pop()
         layers += 1
         for a, kind, b in base_spans(layer.text):
             start, end = layer.span(a, b)
             found.add((start, kind, end))
-        unwrap(layer)
-    return base, sorted(found), layers, beyond
+        work.append(unwrapped(layer))
+    return base, sorted(found), layers, len(beyond)
 
 
 def joined(spans: list) -> str:

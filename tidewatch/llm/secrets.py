@@ -14,7 +14,7 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,13 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 #: Bytes that may stand inside a match or an encoded run; inflated data is cut at others.
 INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\{}&#;\"':* \0"
+#: UTF-16 text of Latin letters, either byte order.
+WIDE = (re.compile(rb"(?:[\x01-\xff]\x00){8,}"), re.compile(rb"(?:\x00[\x01-\xff]){8,}"))
+#: Where compressed bytes may begin under URL and other escapes, and one escaped or plain byte.
+URL_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:x|%78)%(?:01|5[eE]|9[cC]|[dD][aA])|x\^")
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|(.)", re.S)
+
+
 @dataclass(frozen=True)
 class Unwrap:
     """piece: bytes of inflated data that are scanned at a time. A caller may also set the most
@@ -183,8 +190,11 @@ def _pieces(blocks, size: int):
 
 
 def _texts(raw: bytes):
-    """Bytes as text: every pattern is ASCII, so Latin-1 shows what UTF-8 would."""
+    """Bytes as text: every pattern is ASCII, so Latin-1 shows what UTF-8 would; then UTF-16."""
     yield raw.decode("latin-1")
+    if b"\0" in raw:
+        for first, wide in enumerate(WIDE):
+            yield "\n".join(m[0][first::2].decode("latin-1") for m in wide.finditer(raw))
 
 
 def _layers_of(blocks, span: tuple[int, int], how: Unwrap, beyond: list):
@@ -220,6 +230,58 @@ def _from_base64(layer: Layer, how: Unwrap, beyond: list):
         yield from _layers_of([raw], layer.span(m.start(), m.end()), how, beyond)
 
 
+def _byte_of(m: re.Match, kind: re.Pattern) -> int:
+    if kind is URL_BYTE:
+        return int(m[1], 16) if m[1] else ord(m[2])
+    return ord(_from_escape(m) or "\uffff") if m.lastindex else ord(m[0])
+
+
+ESCAPE_BYTE = re.compile(ESCAPE.pattern + "|.", re.S)
+
+
+def _from_packed(layer: Layer, kind: re.Pattern, how: Unwrap, beyond: list):
+    """Layers of compressed bytes that are written with escapes."""
+    text, begins = layer.text, []
+    for begin in (URL_MAGIC if kind is URL_BYTE else ESCAPE).finditer(text):
+        two = [_byte_of(m, kind) for m in islice(kind.finditer(text, begin.start()), 2)]
+        if max(two) < 256 and _is_packed(bytes(two)):
+            begins.append(begin.start())
+    if not begins:
+        return
+    tokens = [(m.start(), m.end(), _byte_of(m, kind)) for m in kind.finditer(text, begins[0])]
+    place = {start: i for i, (start, _, _) in enumerate(tokens)}
+    codes = np.array([code for _, _, code in tokens])
+    raw, breaks = codes.astype(np.uint8).tobytes(), np.flatnonzero(codes > 255)
+    done = 0
+    for begin in begins:
+        first = place.get(begin, -1)
+        if first < done:
+            continue
+        next_break = np.searchsorted(breaks, first)
+        stop = int(breaks[next_break]) if next_break < len(breaks) else len(raw)
+        # The stream says itself where it ends; members may follow each other.
+        at = first
+        while _is_packed(raw[at : at + 2]) and at < stop:
+            tool = zlib.decompressobj(47)
+            feed = at
+            try:
+                while feed < stop and not tool.eof:
+                    tail = raw[feed : min(stop, feed + BLOCK)]
+                    feed += len(tail)
+                    while tail and not tool.eof:
+                        tool.decompress(tail, BLOCK)
+                        tail = tool.unconsumed_tail
+            except zlib.error:
+                break
+            if not tool.eof:
+                break
+            at = feed - len(tool.unused_data)
+        # A stream that breaks off is opened as far as it goes.
+        last = at if at > first else stop
+        done = max(done, at)
+        yield from _layers_of([raw[first:last]], layer.span(begin, tokens[last - 1][1]), how, beyond)
+
+
 def scan(text: str, how: Unwrap = Unwrap()) -> tuple[list, list, int, int]:
     """Base spans, all spans, how many layers were scanned and how many things were not."""
     base = base_spans(text)
@@ -240,9 +302,11 @@ def scan(text: str, how: Unwrap = Unwrap()) -> tuple[list, list, int, int]:
     def unwrapped(layer: Layer):
         """The layers within a layer, made one at a time."""
         if "%" in layer.text:
+            yield from _from_packed(layer, URL_BYTE, how, beyond)
             if inner := _substituted(layer, URL, _from_url):
                 yield inner
         if "\\" in layer.text or "&#" in layer.text:
+            yield from _from_packed(layer, ESCAPE_BYTE, how, beyond)
             if inner := _substituted(layer, ESCAPE, _from_escape):
                 yield inner
         yield from _from_base64(layer, how, beyond)

@@ -13,6 +13,7 @@ from tidewatch.llm.secrets import op5_secrets
 from tidewatch.llm.simhash import op4_simhash
 from tidewatch.llm.toxicity import op6_toxicity
 from tidewatch.llm.url_filter import OP8_SQL, op8_url_filter
+from tidewatch.llm.whitening import op13_whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -20,7 +21,7 @@ QUERIES = {
         q.__name__: q
         for q in (
             op1_quality, op2_mix, op3_line_dedup, op4_simhash, op5_secrets, op6_toxicity,
-            op7_decontaminate, op8_url_filter, op9_embeddings, op10_personal_data,
+            op7_decontaminate, op8_url_filter, op9_embeddings, op10_personal_data, op13_whitening,
         )
     },
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tidewatch.llm.alignment import op11_align
 from tidewatch.llm.decontaminate import op7_decontaminate
 from tidewatch.llm.embeddings import op9_embeddings
 from tidewatch.llm.line_dedup import op3_line_dedup
@@ -22,7 +23,8 @@ QUERIES = {
         q.__name__: q
         for q in (
             op1_quality, op2_mix, op3_line_dedup, op4_simhash, op5_secrets, op6_toxicity,
-            op7_decontaminate, op8_url_filter, op9_embeddings, op10_personal_data, op12_top_k, op13_whitening,
+            op7_decontaminate, op8_url_filter, op9_embeddings, op10_personal_data, op11_align, op12_top_k,
+            op13_whitening,
         )
     },
 }

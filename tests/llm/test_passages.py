@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from tidewatch.llm import line_dedup
 from tidewatch.llm.decontaminate import Windows, contamination, decontaminated
 from tidewatch.llm.fm_index import FMIndex
 from tidewatch.llm.line_dedup import deduplicated, with_spans
@@ -122,3 +123,70 @@ def test_line_dedup(spark):
 
 def test_line_dedup_empty(spark):
     assert with_spans(spark.createDataFrame([], "doc_id long, text string"), "spans").count() == 0
+
+
+def repeats(docs, width):
+    """Words of each document, in order of id, within a run of ``width`` words that stands in
+    an earlier document or earlier in the same one."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        hit = set()
+        for a in range(len(words) - width + 1):
+            run = tuple(words[a : a + width])
+            if run in seen:
+                hit.update(range(a, a + width))
+            seen.add(run)
+        out[i] = words, hit
+    return out
+
+
+@pytest.mark.parametrize("parts, edge", [(1, 0), (4, 0), (3, 5)])
+def test_line_dedup_against_all_runs(spark, parts, edge):
+    """Edges that the first occurrence lacks and a later one has may keep some words."""
+    rng = random.Random(parts)
+    passages = [prose(rng, n, 10**6) for n in (44, 45, 49, 50, 51, 53, 60, 75, 120, 400)]
+    docs = []
+    for i in range(140):
+        words = prose(rng, rng.randrange(0, 60), 10**6)
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            part = rng.choice(passages)
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part[rng.randrange(3) if edge and len(part) > 60 else 0 :]
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, `meta.x` string").repartition(parts)
+    got = with_spans(df, "spans").collect()
+    assert list(got[0].asDict()) == ["doc_id", "text", "meta.x", "spans"]
+    must, may = repeats(docs, 50), repeats(docs, 45)
+    for r in got:
+        text = r["text"] or ""
+        starts = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        gone = {k for k, x in enumerate(starts) if any(s["start"] <= x < s["end"] for s in r["spans"] or [])}
+        left = must[r["doc_id"]][1] - gone
+        # Two edges may meet.
+        assert not any(all(k + d in left for d in range(2 * edge + 1)) for k in left)
+        assert gone <= may[r["doc_id"]][1]
+    assert sum(len(h) for _, h in must.values()) > 3000
+
+
+@pytest.mark.parametrize("place", [0, 40])
+def test_line_dedup_fingerprint_at_either_end(spark, monkeypatch, place):
+    """Where a window's least line is its first or its last, the passage is still covered whole."""
+    rng = random.Random(place)
+    passage = prose(rng, 50, 10**6)
+    own = [prose(rng, 30, 10**6) for _ in range(4)]
+    docs = [(0, own[0] + passage + own[1]), (1, own[2] + passage + own[3])]
+    monkeypatch.setattr(line_dedup, "window_minima", lambda h, width, start: np.unique(np.clip(start + place, 0, len(h) - 1)))
+    seen = np.full(1, (1 << 64) - 1, np.uint64)
+    texts = [" ".join(w) for _, w in docs]
+    import pyarrow as pa
+
+    how = line_dedup.Winnow()
+    words = list(line_dedup._words(pa.array(texts)))
+    (_, h, heads), = words
+    prefix, lines, at = line_dedup._prints(h, heads, how)
+    at = at[(at == 30 + place) | (at == heads[1] + 30 + place)]
+    monkeypatch.setattr(line_dedup, "_prints", lambda *_: (prefix, lines, at))
+    keys = line_dedup.keys_udf(seen, how).func(pa.array(texts), pa.array([0, 1]), pa.array([5, 6])).to_pylist()
+    runs = [(-1 - k["at"], k["left"]) for k in keys[1] if k["k"] is None]
+    assert runs == [(30, 80)]

@@ -143,3 +143,17 @@ def test_batches_without_order(spark, tmp_path):
     assert rows.select("_id").distinct().count() == 4
     alive = B.survivors(rows, 300)
     assert kept(alive) == [1000, 1000, 5000, 5010]
+
+
+@pytest.mark.parametrize("how", [{}, {"group_bits": 2, "per_task": 5}, {"group_bits": 1}])
+def test_sizes_after_every_insert(spark, how):
+    rng = random.Random(3)
+    rows = [(i * 3, rng.choice("aab"), f"i{i}", float(1000 + i * 20 + rng.choice((0, -900, 400, 2000 * (i == 60))))) for i in range(130)]
+    df = spark.createDataFrame(rows, "arrival_seq bigint, sensor string, _id string, ts_epoch double")
+    got = {(r.sensor, r.arrival_seq): r.flow_count for r in B.sizes_after_inserts(df.repartition(3), **how).collect()}
+    held = {"a": [], "b": []}
+    for seq, sensor, _, t in rows:
+        held[sensor] = [x for x in held[sensor] + [t] if x >= t - 300]
+        assert got[sensor, seq] == len(held[sensor])
+    assert len(got) == len(rows)
+    assert B.sizes_after_inserts(df.limit(0)).count() == 0

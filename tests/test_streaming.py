@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import time
 
 import pytest
@@ -58,8 +59,6 @@ def test_streamed_buffer_equals_simulation(spark, tmp_path):
     got = SB.read_buffer(spark, str(tmp_path / "buffer")).collect()
     order = [(n, s, float(t), i, i) for n, s, t, i in rows]
     assert sorted((r.sensor, r._id, r.ts_epoch) for r in got) == simulate(order)
-    versions = [d for d in os.listdir(tmp_path / "buffer") if d.startswith("v=")]
-    assert len(versions) <= 2
     archived = spark.read.option("recursiveFileLookup", "true").csv(str(tmp_path / "archive"), header=True)
     assert archived.count() == 120
 
@@ -92,13 +91,101 @@ def test_buffer_failure_leaves_the_archive(spark, tmp_path):
     assert SB.read_buffer(spark, str(tmp_path / "buffer")).count() == 0
 
 
-def test_reinserted_text_moves_in_a_stream(spark):
-    def rows(*items):
-        return spark.createDataFrame([(i, "s", float(t), p, p) for i, (t, p) in enumerate(items)], B.BUFFER_SCHEMA)
+def buffer_files(tmp):
+    """Data files of the buffer, with what would change if they were written again."""
+    found = {}
+    for folder, _, names in os.walk(tmp / "buffer"):
+        for n in names:
+            if n.endswith(".parquet"):
+                st = os.stat(os.path.join(folder, n))
+                found[os.path.relpath(os.path.join(folder, n), tmp / "buffer")] = (st.st_ino, st.st_mtime_ns)
+    return found
+
+
+def test_a_batch_rewrites_nothing_and_expired_slots_go(spark, tmp_path):
+    folder = str(tmp_path / "buffer")
+    all_rows, seen = arrivals(400), {}
+    for batch in range(8):
+        part = all_rows[batch * 50 : batch * 50 + 50]
+        SB.put_batch(to_rows(spark.createDataFrame(part, ARRIVAL)), batch, folder)
+        now = buffer_files(tmp_path)
+        kept = {k: v for k, v in now.items() if k in seen}
+        assert kept == {k: seen[k] for k in kept}
+        assert all(f"batch={batch}/" in k for k in now.keys() - seen.keys())
+        seen = now
+        order = [(n, s, float(t), i, i) for n, s, t, i in all_rows[: batch * 50 + 50]]
+        got = SB.read_buffer(spark, folder).collect()
+        assert sorted((r.sensor, r._id, r.ts_epoch) for r in got) == simulate(order)
+    batches = {k.split("batch=")[1].split("/")[0] for k in seen}
+    assert "7" in batches and len(batches) < 5  # the first ones expired, with their summaries
+    assert not os.listdir(tmp_path / "buffer" / "open")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_in_any_order_of_times(spark, tmp_path, seed):
+    """Late flows outlive newer ones that arrived before; folders that hold one must stay."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("ab"), str(1000 + rng.choice((0, 0, 350, 700, 5000)) + rng.randrange(400)), f"i{i}") for i in range(60)]
+    folder = str(tmp_path / "buffer")
+    for batch in range(6):
+        SB.put_batch(to_rows(spark.createDataFrame(rows[batch * 10 : batch * 10 + 10], ARRIVAL)), batch, folder)
+    got = SB.read_buffer(spark, folder).collect()
+    order = [(n, s, float(t), i, i) for n, s, t, i in rows]
+    assert sorted((r.sensor, r._id, r.ts_epoch) for r in got) == simulate(order)
 
-    held = rows((1000, "x"), (1010, "y"))
-    merged = SB.merge_batch(held, rows((1100, "x"), (1100, "z")), supplied_ids=True)
-    assert sorted((r.payload, r.ts_epoch) for r in merged.collect()) == [("x", 1100), ("y", 1010), ("z", 1100)]
+
+def test_flows_without_ids_in_batches(spark, tmp_path):
+    """Equal flows of two batches both stay, each with an id of its own."""
+    folder = str(tmp_path / "buffer")
+    flows = spark.createDataFrame([("1000", 1), ("1000", 1), ("1001", 2)], "timestamp string, port int").coalesce(1)
+    write = SB.dual_writer(str(tmp_path / "archive"), folder)
+    for batch in (0, 1):
+        write(flows.withColumn("_at", F.lit("2024-03-05 10:47:10").cast("timestamp")), batch)
+    write(flows.withColumn("_at", F.lit("2024-03-05 10:47:10").cast("timestamp")), 1)  # a replay
+    got = SB.read_buffer(spark, folder).collect()
+    assert len(got) == 6 and len({r._id for r in got}) == 6
+    assert sorted(r.arrival_seq for r in got) == [b * 2**SB.BATCH_BITS + i for b in (0, 1) for i in range(3)]
+    assert json.loads(got[0].payload).keys() == {"timestamp", "port", "_id"}
+
+
+def test_failed_batch_is_made_up_from_the_archive(spark, tmp_path):
+    rows, fails = arrivals(60), {1}
+
+    def flaky(batch):
+        if {r.n // 20 for r in batch.select("n").collect()} & fails:
+            raise RuntimeError("no buffer")
+        return to_rows(batch)
+
+    write = SB.dual_writer(str(tmp_path / "archive"), str(tmp_path / "buffer"), flaky)
+    for batch in range(2):
+        flows = spark.createDataFrame(rows[batch * 20 : batch * 20 + 20], ARRIVAL)
+        write(flows.withColumn("_at", F.lit("2024-03-05 10:47:10").cast("timestamp")), batch)
+    folder = str(tmp_path / "buffer")
+    order = [(n, s, float(t), i, i) for n, s, t, i in rows]
+    assert sorted((r.sensor, r._id, r.ts_epoch) for r in SB.read_buffer(spark, folder).collect()) == simulate(order[:20])
+    assert SB.open_batches(spark, folder) == [1]
+    fails.clear()
+    write(spark.createDataFrame(rows[40:], ARRIVAL).withColumn("_at", F.current_timestamp()), 2)
+    assert sorted((r.sensor, r._id, r.ts_epoch) for r in SB.read_buffer(spark, folder).collect()) == simulate(order)
+    assert SB.open_batches(spark, folder) == []
+
+
+def test_reinserted_text_moves_in_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "buffer")
+
+    def put(batch, *items):
+        rows = [(batch * 10 + i, "s", float(t), p, p) for i, (t, p) in enumerate(items)]
+        SB.put_batch(spark.createDataFrame(rows, B.BUFFER_SCHEMA), batch, folder, supplied_ids=True)
+
+    def held():
+        return sorted((r.payload, r.ts_epoch) for r in SB.read_buffer(spark, folder, supplied_ids=True).collect())
+
+    put(0, (1000, "x"), (1010, "y"))
+    put(1, (1100, "x"), (1100, "z"))
+    assert held() == [("x", 1100), ("y", 1010), ("z", 1100)]
+    put(2, (700, "y"), (1050, "w"))  # y moves back in time and expires by the next insert
+    put(3, (1100, "v"))
+    assert held() == [("v", 1100), ("w", 1050), ("x", 1100), ("z", 1100)]
 
 
 def test_repeated_ids_are_dropped(spark, tmp_path):

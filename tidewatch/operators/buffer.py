@@ -16,11 +16,20 @@ from pyspark.sql import types as T
 from tidewatch.functions.timeparse import buffer_epoch, millisecond_text
 from tidewatch.plans import files
 from tidewatch.plans.materialize import broadcast_if_small, computed_once, written
-from tidewatch.plans.ordered import CHUNK_BITS, SUMMARY_ROWS, with_later_max
+from tidewatch.plans.ordered import (
+    CHUNK_BITS,
+    SUMMARY_ROWS,
+    next_above,
+    with_later_max,
+    with_row_number,
+    with_running_sum,
+)
 from tidewatch.schemas import BUFFER_KEY, BUFFER_RETENTION_SECONDS
 
 BUFFER_SCHEMA = "arrival_seq bigint, sensor string, ts_epoch double, _id string, payload string"
 SENSOR = "sensor"
+# A column of this name gives flows their arrival order and is no part of them.
+ARRIVAL = "_pos"
 
 
 def _row_id(seq: Column, sensor: Column) -> Column:
@@ -40,14 +49,16 @@ def buffer_rows(
 ) -> DataFrame:
     """Flows as buffer rows. ``timestamp`` (epoch seconds) overrides the flow's own time.
 
-    ``seq`` is the arrival order, unique per sensor; the scan order of these flows by default
+    ``seq`` is the arrival order, unique per sensor; the column ``_pos``, if there is one, or
+    the scan order of these flows by default
     (for a table that grows by batches see :func:`append_flows`). A flow's own
     ``_id`` is kept. Flows whose time is NaN cannot be ordered and are left out.
     """
-    columns = [c for c in flows.columns if c != "_id"]
+    columns = [c for c in flows.columns if c not in ("_id", ARRIVAL)]
     # One moment for all rows and all reads of them.
     now = F.lit(datetime.now(UTC)) if now is None else now
-    seq = F.monotonically_increasing_id() if seq is None else seq
+    if seq is None:
+        seq = F.col(ARRIVAL) if ARRIVAL in flows.columns else F.monotonically_increasing_id()
     sensor = F.lit(BUFFER_KEY) if sensor is None else sensor
     if timestamp is None and "timestamp" in flows.columns:
         numeric = isinstance(flows.schema["timestamp"].dataType, T.NumericType)
@@ -76,13 +87,14 @@ def survivors(
     supplied_ids: bool = False,
     bits: tuple[int, ...] = CHUNK_BITS,
     limit: int = SUMMARY_ROWS,
+    tops: DataFrame | None = None,
 ) -> DataFrame:
     """Rows still buffered after all inserts, in arrival order.
 
     ``supplied_ids``: flows bring their own ``_id``, so the same text can be inserted again
-    and then only its last insert counts.
+    and then only its last insert counts. ``tops``: see :func:`with_later_max`.
     """
-    kept = with_later_max(rows, [SENSOR], "arrival_seq", "ts_epoch", retention, bits, limit)
+    kept = with_later_max(rows, [SENSOR], "arrival_seq", "ts_epoch", retention, bits, limit, tops)
     kept = kept.drop("_reach")
     if not supplied_ids:
         return kept
@@ -94,6 +106,31 @@ def survivors(
     return kept.join(last, [*member, "arrival_seq"], "left_semi")
 
 
+def sizes_after_inserts(
+    rows: DataFrame, retention: float = BUFFER_RETENTION_SECONDS, **how
+) -> DataFrame:
+    """Every insert (sensor, arrival_seq, _id, ts_epoch) with ``flow_count``, the number of
+    flows the sensor's buffer holds after it.
+
+    A flow leaves with the first later arrival that is newer by more than the retention time.
+    Every insert counts as a flow of its own. ``how`` goes to :func:`next_above`.
+    """
+    names = [SENSOR, "arrival_seq", "_id", "ts_epoch"]
+    rows = written(rows.select(*names), "inserts")
+    bucket = F.shiftright("arrival_seq", CHUNK_BITS[0])
+    placed = written(with_row_number(rows, [SENSOR], "arrival_seq", bucket), "placed-inserts")
+    reach = placed.withColumn("_reach", F.col("ts_epoch") - F.lit(float(retention)))
+    gone = next_above(reach, [SENSOR], "_row", "_reach", "ts_epoch", **how)
+    # Many flows may leave with one insert.
+    leaves = gone.filter("_next is not null").groupBy(SENSOR, F.col("_next").alias("_row")).agg(
+        F.count(F.lit(1)).alias("_left")
+    )
+    steps = placed.join(leaves, [SENSOR, "_row"], "left")
+    steps = steps.withColumn("_step", F.lit(1) - F.coalesce("_left", F.lit(0)))
+    summed = with_running_sum(steps, [SENSOR], "_row", "_step")
+    return summed.select(*names, F.col("_sum").alias("flow_count"))
+
+
 def in_range(
     rows: DataFrame, start: float | None = None, end: float | None = None
 ) -> DataFrame:

@@ -32,3 +32,11 @@ def children(spark: SparkSession, path: str) -> Iterator[tuple[str, bool]]:
     while listing.hasNext():
         status = listing.next()
         yield status.getPath().toString(), status.isDirectory()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    _fs(spark, path).mkdirs(_path(spark, path))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    return _fs(spark, old).rename(_path(spark, old), _path(spark, new))

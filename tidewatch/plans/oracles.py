@@ -421,6 +421,14 @@ SELECT concat('capture_0', capture_id) AS scenario_id, count(*) AS total_windows
     "rolling_buffer_sensors": f"""WITH {_kept(SENSOR_RETENTION)}
   SELECT sensor, arrival_seq, _id, ts_epoch FROM kept""",
     "rolling_buffer_reinserted": REINSERTED,
+    "buffer_sizes": f"""WITH {_kept(SENSOR_RETENTION)}, gone AS (
+  SELECT a.sensor, a.arrival_seq, min(b.arrival_seq) AS last FROM inserts a JOIN inserts b
+  ON a.sensor = b.sensor AND b.arrival_seq > a.arrival_seq
+   AND b.ts_epoch - {_d(float(SENSOR_RETENTION))} > a.ts_epoch GROUP BY 1, 2),
+leaves AS (SELECT sensor, last AS arrival_seq, count(*) AS n FROM gone GROUP BY 1, 2)
+SELECT sensor, arrival_seq, CAST(sum(1 - coalesce(n, 0)) OVER (PARTITION BY sensor
+  ORDER BY arrival_seq) AS BIGINT) AS flow_count
+FROM inserts LEFT JOIN leaves USING (sensor, arrival_seq)""",
     "buffer_range": f"""WITH {ARRIVALS} SELECT ts_epoch, _id, src_ip, dst_port FROM arrivals
   WHERE ts_epoch BETWEEN {_d(RANGE[0])} AND {_d(RANGE[1])}""",
     "buffer_prune": f"""WITH {ARRIVALS} SELECT CASE WHEN ts_epoch < {_d(RANGE[1] - 7 * 86400)}
@@ -487,6 +495,11 @@ SELECT event_id FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN CURRENT R
     "stream_window_state": _state_rows("hour"),
     "stream_rolling_buffer": f"""WITH {_kept(SENSOR_RETENTION)}
   SELECT sensor, arrival_seq, _id, ts_epoch FROM kept""",
+    "stream_default_rows": f"""WITH e AS (SELECT event_id, epoch_us(ts) AS t,
+  row_number() OVER (ORDER BY event_id % 4, event_id) AS seq FROM events)
+SELECT event_id, t / {_d(1e6)} AS ts_epoch FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN
+  CURRENT ROW AND UNBOUNDED FOLLOWING) AS newest FROM e)
+WHERE newest - {SENSOR_RETENTION}::BIGINT * 1000000 <= t""",
     "stream_flow_archive": f"""SELECT concat('f', event_id) AS _id, CASE event_id % 3 WHEN 0
   THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%d/%m/%Y %H:%M:%S')
   ELSE {EPOCH_TEXT} END AS timestamp, {PORT} AS dst_port FROM events""",

@@ -433,6 +433,14 @@ def rolling_buffer_reinserted(spark, sf_dir):
     return kept.select("sensor", "arrival_seq", "_id", "ts_epoch")
 
 
+@query
+def buffer_sizes(spark, sf_dir):
+    """Flows each sensor's buffer holds after every single insert."""
+    return rolling.sizes_after_inserts(_sensor_arrivals(spark, sf_dir), SENSOR_RETENTION).select(
+        "sensor", "arrival_seq", "flow_count"
+    )
+
+
 RANGE = (1704844800.0, 1705449600.0)  # 2024-01-10 to 2024-01-17
 
 
@@ -783,10 +791,28 @@ def _dual_sink(spark: SparkSession, sf_dir: str) -> str:
 
 @query
 def stream_rolling_buffer(spark, sf_dir):
-    kept = stream_buffer.read_buffer(spark, f"{_dual_sink(spark, sf_dir)}/buffer")
+    kept = stream_buffer.read_buffer(spark, f"{_dual_sink(spark, sf_dir)}/buffer", SENSOR_RETENTION)
     return kept.select("sensor", "arrival_seq", "_id", "ts_epoch")
 
 
+@query
+def stream_default_rows(spark, sf_dir):
+    """Flows without ids or order of their own, in four micro-batches of a stream."""
+    base = _scratch(spark, "stream-default")
+    flows = ad.events(spark, sf_dir).select("event_id", (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp"))
+    for batch in range(4):
+        part = flows.filter(F.col("event_id") % 4 == batch).repartitionByRange(1, "event_id")
+        part.sortWithinPartitions("event_id").write.mode("append").parquet(f"{base}/in")
+        stream_buffer.start_dual_sink(
+            spark.readStream.schema(flows.schema).parquet(f"{base}/in"),
+            f"{base}/archive", f"{base}/buffer", f"{base}/checkpoint", available_now=True,
+            retention=SENSOR_RETENTION,
+        ).awaitTermination()
+    kept = stream_buffer.read_buffer(spark, f"{base}/buffer", SENSOR_RETENTION)
+    at = F.get_json_object("payload", "$.event_id").cast("bigint")
+    return kept.select(at.alias("event_id"), "ts_epoch")
+
+
 @query
 def stream_flow_archive(spark, sf_dir):
     """The archive keeps every flow, also those the buffer has dropped."""

@@ -10,6 +10,7 @@ from tidewatch.operators.flows import (
     is_span,
     missing_features,
 )
+from tidewatch.operators import states as S
 from tidewatch.operators.states import state_dimensions, window_states
 from tidewatch.schemas import FLOW_COLUMNS
 from tidewatch.sources.flow_csv import header_of, read_flow_csv, read_flows
@@ -234,3 +235,42 @@ def test_own_headers_reach_every_split(spark, tmp_path):
             spark.conf.set(k, v)
     got = sorted((r.capture_id, int(r.a), int(r.b)) for r in rows)
     assert got == sorted([("one.csv", i, i * 2) for i in range(400)] + [("two.csv", i * 2, i) for i in range(400)])
+
+
+@pytest.mark.parametrize("extra", [0, 20])
+def test_stored_states_merge_to_longer_windows(spark, tmp_path, extra):
+    """Minutes merged to hours equal hours, on few features and on many."""
+    rng = np.random.default_rng(extra)
+    names = ["Dst Port", "Protocol"] + [f"v{i}" for i in range(extra + 1)]
+    ports = rng.choice([0, 1, 63, 64, 1024, 1025, 65535, -1, -64, 2**40, -(2**63)], 400).astype(float)
+    rows = [
+        ("ab"[i % 2], int(t), float(p), float(6 + i % 3), *map(float, rng.normal(1e6, 1, extra + 1)))
+        for i, (t, p) in enumerate(zip(rng.integers(0, 9000, 400), ports))
+    ]
+    schema = "capture_id string, s bigint, " + ", ".join(f"`{n}` double" for n in names)
+    flows = spark.createDataFrame(rows, schema).withColumn("Timestamp", F.timestamp_seconds("s"))
+    S.append_states(S.partial_states(flows, names), str(tmp_path / "minutes"))
+    S.append_states(S.partial_states(flows.limit(0), names), str(tmp_path / "minutes"))
+    stored = S.load_states(spark, str(tmp_path / "minutes"), "1970-01-01", "1970-01-01")
+    got = {tuple(r)[:2]: r for r in S.finished_states(S.merged_states(stored, "1 hour")).collect()}
+    expected = window_states(flows, names, "1 hour").collect()
+    assert len(got) == len(expected) == 6
+    for r in expected:
+        other = got[tuple(r)[:2]]
+        assert other.flow_count == r.flow_count
+        assert other.state == pytest.approx(r.state, rel=1e-9)
+        own = [x for x in rows if x[0] == r.capture_id and x[1] // 3600 == r.window_start.timestamp() // 3600]
+        assert r.state[-3] == pytest.approx(np.log1p(len({int(x[2]) for x in own})))
+        assert r.state[-2] == len({x[3] for x in own})
+        assert r.state[-1] == pytest.approx(sum(x[2] > 1024 for x in own) / len(own))
+        for i in range(len(names)):
+            v = np.array([x[2 + i] for x in own])
+            assert r.state[i] == pytest.approx(v.mean(), rel=1e-9)
+            assert r.state[len(names) + i] == pytest.approx(v.std(), rel=1e-6, abs=1e-9)
+
+
+def test_states_plan_has_no_row_for_each_port(spark):
+    flows = spark.createDataFrame([("a", 1.0, 6.0)], "capture_id string, `Dst Port` double, Protocol double")
+    flows = flows.withColumn("Timestamp", F.timestamp_seconds(F.lit(0)))
+    plan = window_states(flows, ["Dst Port", "Protocol"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_item" not in plan and "_word" in plan and "bit_or" in plan

@@ -340,6 +340,7 @@ STATIC: dict[str, str] = {
   {', '.join(f'round(x{i}, 6) AS x{i}' for i in range(N))} FROM flows""",
     "window_state_1min": _state_rows("minute"),
     "window_state_1h": _state_rows("hour"),
+    "window_state_rollup": _state_rows("hour"),
     "window_state_moments": _moments(),
     "window_state_wide": _wide(),
     "window_meta": f"""WITH {_states('minute')} SELECT capture_id, {AT.format('w')} AS

@@ -16,7 +16,15 @@ from tidewatch.operators import detect as detection
 from tidewatch.operators import fitting, normalize, retention, rotation
 from tidewatch.operators.flows import align_flows
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
-from tidewatch.operators.states import state_dimensions, window_states
+from tidewatch.operators.states import (
+    append_states,
+    finished_states,
+    load_states,
+    merged_states,
+    partial_states,
+    state_dimensions,
+    window_states,
+)
 from tidewatch.plans import adapters as ad
 from tidewatch.session import shared_dir
 from tidewatch.sources import flow_csv, scenario_store, sinks, zeek
@@ -90,6 +98,15 @@ def window_state_1h(spark, sf_dir):
     return _state_rows(window_states(_cleaned(spark, sf_dir), ad.FEATURES, HOUR), ad.FEATURES)
 
 
+@query
+def window_state_rollup(spark, sf_dir):
+    """States of minutes, stored, merged to ten minutes and then to hours without the flows."""
+    table = f"{_scratch(spark, 'states')}/minutes"
+    append_states(partial_states(_cleaned(spark, sf_dir), ad.FEATURES, MINUTE), table)
+    hours = merged_states(merged_states(load_states(spark, table), "10 minutes"), HOUR)
+    return _state_rows(finished_states(hours), ad.FEATURES)
+
+
 @query
 def window_state_moments(spark, sf_dir):
     """Deviations by sums of squares; on microsecond features this form is good to whole units."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import rotation
-from tidewatch.operators.retention import clean_expired, expired_files
+from tidewatch.operators.retention import clean_expired, clean_slots, expired_files, slots_of
 
 
 @pytest.mark.parametrize(
@@ -71,3 +71,27 @@ def test_retention_of_missing_and_nested_folders(spark, tmp_path):
     (slot / "part-0.txt").write_text("x\n")
     assert clean_expired(spark, str(tmp_path / "events"), 10, now=4102444800.0) == 1
     assert not (tmp_path / "events" / "date=2024-01-01").exists()
+
+
+def slotted(tmp_path, name, age, now):
+    return aged(tmp_path / "events", name + "/part-0.txt", age, now)
+
+
+def test_retention_by_slots(spark, tmp_path):
+    """Slots that ended before the limit go whole; in the slot of the limit files decide."""
+    folder, now = str(tmp_path / "events"), 1709632800.0  # 2024-03-05 10:00
+    gone = [slotted(tmp_path, f"date=2024-03-05/slot={s}", 0, now) for s in ("09-00", "09-15", "09-30")]
+    gone.append(slotted(tmp_path, "date=2024-03-04/slot=23-45", 0, now))
+    edge_old = aged(tmp_path / "events", "date=2024-03-05/slot=09-45/part-1.txt", 11, now)
+    edge_new = aged(tmp_path / "events", "date=2024-03-05/slot=09-45/part-2.txt", 5, now)
+    later = slotted(tmp_path, "date=2024-03-05/slot=10-00", 99, now)
+    other = aged(tmp_path / "events", "notes/part-9.txt", 99, now)
+    found = {r.path.rsplit("slot=", 1)[1]: (r.begins, r.ends) for r in slots_of(spark, folder, 15).collect()}
+    assert len(found) == 6 and (found["23-45"][1] - found["23-45"][0]).seconds == 900
+    # A rotation that does not divide the hour ends with it.
+    assert {(r.ends - r.begins).seconds for r in slots_of(spark, folder, 25).collect()} == {1500, 900}
+    assert clean_slots(spark, folder, 0, now, 15) == 0 and all(p.exists() for p in gone)
+    assert clean_slots(spark, folder, 10, now, 15) == 5
+    assert not any(p.exists() for p in [*gone, edge_old]) and not (tmp_path / "events" / "date=2024-03-04").exists()
+    assert edge_new.exists() and later.exists() and other.exists()
+    assert clean_slots(spark, str(tmp_path / "absent"), 10, now) == 0

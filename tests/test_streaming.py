@@ -10,6 +10,7 @@ from tidewatch.operators import buffer as B
 from tidewatch.operators.flows import align_flows
 from tidewatch.operators.states import window_states
 from tidewatch.streaming import buffer as SB
+from tidewatch.streaming import late as SLT
 from tidewatch.streaming import logs as SL
 from tidewatch.streaming.windows import stream_window_states
 
@@ -269,3 +270,46 @@ def test_streamed_states_equal_batch(spark, tmp_path, std_mode):
     for r in closed:
         other = got[r.capture_id, r.window_start]
         assert other.flow_count == r.flow_count and other.state == pytest.approx(r.state)
+
+
+def test_late_rows_are_parted_and_counted(spark, tmp_path):
+    """The watermark is the newest time of earlier batches less the delay, over restarts."""
+    taken = []
+    write = SLT.late_writer(str(tmp_path), "1 minute", "30 seconds", "t", lambda df, b: taken.append(sorted(r.n for r in df.collect())))
+
+    def batch(number, *seconds):
+        rows = [(i, s) for i, s in enumerate(seconds)]
+        df = spark.createDataFrame(rows, "n int, s bigint").select("n", F.timestamp_seconds("s").alias("t"))
+        write(df, number)
+
+    batch(0, 0, 200, 5)  # nothing is late in the first batch
+    batch(1, 119, 120, 179, None, 400)  # mark 170: the minute to 120 has closed
+    batch(1, 119, 120, 179, None, 400)
+    batch(2, 300, 359, 360)  # mark 370
+    batch(3)
+    assert taken == [[0, 1, 2], [1, 2, 3, 4], [1, 2, 3, 4], [2], []]
+    late = SLT.read_late(spark, str(tmp_path), "n int, t timestamp")
+    assert sorted(r.n for r in late.collect()) == [0, 0, 1]
+    counts = SLT.late_counts(spark, str(tmp_path)).first()
+    assert (counts.rows, counts.late_rows, counts.newest.timestamp()) == (11, 3, 400.0)
+    assert len([d for d in os.listdir(tmp_path / "state") if d.startswith("batch=")]) == 2
+    assert SLT.read_late(spark, str(tmp_path / "none"), "n int").count() == 0
+
+
+def test_counts_hold_over_restarts(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "conn.log").write_text(header("conn", ["ts", "proto"]) + "1\ttcp\n2\tudp\n")
+    start_logs_counted(spark, tmp_path)
+    (logs / "dns.log").write_text(header("dns", ["ts", "query"]) + "4\tq\n")
+    start_logs_counted(spark, tmp_path)
+    start_logs_counted(spark, tmp_path)
+    assert SL.event_count(spark, str(tmp_path / "counts")).first() == (3, 2)
+    assert SL.event_count(spark, str(tmp_path / "none")).first() == (0, 0)
+
+
+def start_logs_counted(spark, tmp):
+    SL.start_log_stream(
+        SL.log_stream(spark, str(tmp / "logs")), str(tmp / "out"), str(tmp / "checkpoint"), available_now=True,
+        counts=str(tmp / "counts"),
+    ).awaitTermination()

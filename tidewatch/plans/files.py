@@ -40,3 +40,17 @@ def make_folder(spark: SparkSession, path: str) -> None:
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     return _fs(spark, old).rename(_path(spark, old), _path(spark, new))
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """Put a small file; one of that name is replaced."""
+    out = _fs(spark, path).create(_path(spark, path), True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """Content of a small file."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewatch.functions.names import horizon_labels, state_names
 from tidewatch.plans import adapters as ad
-from tidewatch.plans.queries import RANGE, SENSOR_RETENTION, THRESHOLD
+from tidewatch.plans.queries import RANGE, RETAINED_TO, SENSOR_RETENTION, THRESHOLD
 from tidewatch.schemas import EVENT_BODY, TACTIC_NAMES, VERDICT_ATTACK, VERDICT_CLEAR
 
 BUNDLE = ad.formula_bundle()
@@ -282,6 +282,8 @@ def _typed_events(log: str) -> str:
   src_port, dst_ip, dst_port, {body} FROM stamped"""
 
 
+_SLOT_ENDS = "date_trunc('hour', ts) + INTERVAL 1 HOUR"
+_LIMIT = f"make_timestamp({int((RETAINED_TO - 600) * 1e6)})"
 ALL_LOGS = ", ".join(f"'{log}'" for log in ad.LOG_FIELDS)
 EVENT_ROWS = """SELECT timestamp, event_type, src_ip, src_port, duration, status_code, query,
  server_name, msg FROM stamped"""
@@ -378,6 +380,8 @@ ranked AS (SELECT *, max(v) OVER g AS top, row_number() OVER (PARTITION BY captu
   ORDER BY v DESC, dim) - 1 AS r FROM imp WINDOW g AS (PARTITION BY capture_id, step_index))
 SELECT capture_id, step_index, CAST(r AS INTEGER) AS rank, {_text(NAMES)}[dim + 1] AS feature,
   round(v / CASE WHEN top > 0 THEN top ELSE 1 END, 4) AS importance FROM ranked WHERE r < 3""",
+    "bundle_stored": f"""WITH {LOGGED} SELECT CAST(dim AS INTEGER) AS dim, round(mean, 6) AS mean,
+  round(scale, 6) AS scale FROM scaler""",
     "fit_scaler": f"""WITH {LOGGED} SELECT CAST(dim AS INTEGER) AS dim, round(mean, 6) AS mean,
   round(scale, 6) AS scale FROM scaler""",
     "fit_benign_baseline": f"""WITH {_scored(between=BASELINE + ',')} SELECT round(mean, 6) AS mean,
@@ -491,8 +495,39 @@ SELECT event_id FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN CURRENT R
   round(x3, 3) AS packets FROM flows""",
     "flow_csv_merge": f"""SELECT count(*) AS flows, count(*) FILTER (user_id % 2 = 0) AS with_cwr,
   CAST(sum({PORT}) AS BIGINT) AS ports FROM events""",
-    "retention_report": """SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT hour(ts)) AS
-  slots FROM events GROUP BY 1""",
+    "retention_report": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT hour(ts)) AS
+  slots FROM events WHERE {_SLOT_ENDS} < {_LIMIT} GROUP BY 1""",
+    "retention_clean": f"""SELECT count(*) FILTER ({_SLOT_ENDS} >= {_LIMIT}) AS events,
+  min(event_id) FILTER ({_SLOT_ENDS} >= {_LIMIT}) AS first_event,
+  count(DISTINCT date_trunc('hour', ts)) FILTER ({_SLOT_ENDS} < {_LIMIT}) AS slots_gone,
+  true AS counted FROM events""",
+    "expired_event_files": """SELECT '2100' AS at, strftime(ts, '%Y-%m-%d') AS day,
+  count(DISTINCT hour(ts)) AS slots FROM events GROUP BY 2""",
+    "flow_times_dropped": """SELECT user_id % 4 AS capture_id, count(*) AS read,
+  count(*) FILTER (event_id % 23 <> 0 AND event_id % 29 <> 0) AS kept,
+  CAST(sum(event_id) FILTER (event_id % 23 <> 0 AND event_id % 29 <> 0) AS BIGINT) AS ids
+  FROM events GROUP BY 1""",
+    "flow_table_checks": """WITH n AS (SELECT count(*) > 0 AS filled FROM events),
+c AS (SELECT unnest(['src_ip', 'dst_ip', 'src_port', 'dst_port', 'protocol']) AS name)
+SELECT 'wide' AS flows, concat('column ', name) AS "check", true AS passed FROM c
+UNION ALL SELECT 'empty', concat('column ', name), true FROM c
+UNION ALL SELECT 'narrow', concat('column ', name), name IN ('dst_port', 'protocol') FROM c
+UNION ALL SELECT 'wide', 'has data rows', filled FROM n
+UNION ALL SELECT 'narrow', 'has data rows', filled FROM n
+UNION ALL SELECT 'empty', 'has data rows', false FROM n
+UNION ALL SELECT unnest(['wide', 'narrow', 'empty']), 'at least 70 columns', unnest([true, false, true])""",
+    "buffer_cleared": f"""WITH {_kept(SENSOR_RETENTION)} SELECT count(*) AS filled,
+  CAST(0 AS BIGINT) AS cleared, count(*) FILTER (arrival_seq % 2 = 0) AS again FROM inserts""",
+    "log_fan_in": f"""WITH {LINES}, sensors AS (SELECT *, split_part(file, '-', 2) AS sensor FROM good)
+SELECT CASE sensor WHEN '0' THEN concat(log, '.log') ELSE concat(log, '.day-', sensor, '.log') END
+  AS file, log AS path, count(*) AS records, CAST(sum(len(fields)) AS BIGINT) AS cells
+FROM sensors WHERE sensor <> '1' GROUP BY 1, 2""",
+    "stream_event_counts": f"""WITH {LINES} SELECT count(*) AS events FROM good""",
+    "stream_late_rows": f"""WITH first AS (SELECT max(ts) AS newest FROM events WHERE event_id % 3 <> 0),
+late AS (SELECT event_id, ts FROM events, first WHERE event_id % 3 = 0
+  AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= newest - INTERVAL 90 MINUTE)
+SELECT event_id, {AT.format('ts')} AS at, (SELECT count(*) FROM events) AS rows,
+  (SELECT count(*) FROM late) AS late_rows FROM late""",
     "stream_window_state": _state_rows("hour"),
     "stream_rolling_buffer": f"""WITH {_kept(SENSOR_RETENTION)}
   SELECT sensor, arrival_seq, _id, ts_epoch FROM kept""",

@@ -14,7 +14,7 @@ from tidewatch.functions import numeric, timeparse
 from tidewatch.operators import buffer as rolling
 from tidewatch.operators import detect as detection
 from tidewatch.operators import fitting, normalize, retention, rotation
-from tidewatch.operators.flows import align_flows
+from tidewatch.operators.flows import align_flows, check_flow_table
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
 from tidewatch.operators.states import (
     append_states,
@@ -26,9 +26,12 @@ from tidewatch.operators.states import (
     window_states,
 )
 from tidewatch.plans import adapters as ad
+from tidewatch.plans import files
 from tidewatch.session import shared_dir
 from tidewatch.sources import flow_csv, scenario_store, sinks, zeek
+from tidewatch.sources.bundle import load_bundle, save_bundle
 from tidewatch.streaming import buffer as stream_buffer
+from tidewatch.streaming import late as stream_late
 from tidewatch.streaming import logs as stream_logs
 from tidewatch.streaming.windows import stream_window_states
 
@@ -737,16 +740,126 @@ def flow_csv_merge(spark, sf_dir):
     )
 
 
-@query
-def retention_report(spark, sf_dir):
-    """Event files past the limit, by date, where each event went to the slot of its time."""
+RETAINED_TO = 1705449600.0  # 2024-01-17
+
+
+def _slotted_events(spark: SparkSession, sf_dir: str) -> str:
+    """Event files where each event went to the hour of its time."""
     folder = _scratch(spark, "retention")
     text = ad.events(spark, sf_dir).select("ts", F.to_json(F.struct("event_id")).alias("json"))
     sinks.write_events(text.repartitionByRange("ts"), folder, 60, at=F.col("ts"))
-    gone = retention.expired_files(spark, folder, 10, now=4102444800.0)
-    day = F.regexp_extract("path", "date=([0-9-]+)", 1)
+    return folder
+
+
+@query
+def retention_report(spark, sf_dir):
+    """Slots past a limit that lies within the data, by date."""
+    folder = _slotted_events(spark, sf_dir)
+    gone = retention.expired_slots(spark, folder, 10, RETAINED_TO, 60)
+    return gone.groupBy(F.date_format("begins", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("slots"))
+
+
+@query
+def retention_clean(spark, sf_dir):
+    """Events left, and folders gone, once expired slots are deleted; the slot that the limit
+    falls into has new files only and stays."""
+    folder = _slotted_events(spark, sf_dir)
+    before = retention.slots_of(spark, folder, 60).count()
+    removed = retention.clean_slots(spark, folder, 10, RETAINED_TO, 60)
+    left = retention.slots_of(spark, folder, 60)
+    text = spark.read.option("recursiveFileLookup", "true").text(folder)
+    return text.agg(
+        F.count(F.lit(1)).alias("events"),
+        F.min(F.get_json_object("value", "$.event_id").cast("bigint")).alias("first_event"),
+    ).crossJoin(
+        left.agg((F.lit(before) - F.count(F.lit(1))).alias("slots_gone"), F.lit(removed >= 1).alias("counted"))
+    )
+
+
+@query
+def expired_event_files(spark, sf_dir):
+    """Event files by their own time: all are younger than an hour, none than the year 2100."""
+    folder = _slotted_events(spark, sf_dir)
+    day = F.regexp_extract("path", "date=([0-9-]+)", 1).alias("day")
     hour = F.regexp_extract("path", "slot=([0-9]+)-", 1)
-    return gone.groupBy(day.alias("day")).agg(F.countDistinct(hour).alias("slots"))
+    found = [
+        retention.expired_files(spark, folder, 60, now).select(F.lit(label).alias("at"), day, hour.alias("hour"))
+        for label, now in (("now", None), ("2100", 4102444800.0))
+    ]
+    return found[0].unionByName(found[1]).groupBy("at", "day").agg(F.countDistinct("hour").alias("slots"))
+
+
+@query
+def flow_times_dropped(spark, sf_dir):
+    """Flows whose time cannot be read are left out; every capture's count before and after."""
+    text = F.when(F.col("event_id") % 23 == 0, "no time").when(F.col("event_id") % 29 != 0, _at("timestamp"))
+    flows = ad.narrow_flows(spark, sf_dir).withColumn("timestamp", text)
+    kept = align_flows(flows, ad.FEATURES).groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("event_id").alias("ids")
+    )
+    read = flows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("read"))
+    return read.join(kept, "capture_id")
+
+
+@query
+def flow_table_checks(spark, sf_dir):
+    """Quality checks of full flow records, of narrow ones and of a table without rows."""
+    wide = ad.wide_flows(spark, sf_dir).drop("capture_id")
+    tables = {"wide": wide, "narrow": ad.narrow_flows(spark, sf_dir), "empty": wide.limit(0)}
+    found = [check_flow_table(t).select(F.lit(name).alias("flows"), "check", "passed") for name, t in tables.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def buffer_cleared(spark, sf_dir):
+    """Flows in a buffer table when filled, after it is cleared, and when it is used again."""
+    table = f"{_scratch(spark, 'buffer-clear')}/buffer"
+    rows = _sensor_arrivals(spark, sf_dir)
+    rolling.append_buffer(rows, table)
+    filled = rolling.load_buffer(spark, table).count()
+    rolling.clear_buffer(spark, table)
+    cleared = rolling.load_buffer(spark, table).count()
+    rolling.append_buffer(rows.filter("arrival_seq % 2 = 0"), table)
+    again = rolling.load_buffer(spark, table).agg(F.count(F.lit(1)).alias("again"))
+    return again.select(F.lit(filled).cast("bigint").alias("filled"), F.lit(cleared).cast("bigint").alias("cleared"), "again")
+
+
+@query
+def bundle_stored(spark, sf_dir):
+    """Scaling fitted on hourly states, stored in a bundle and read back from it."""
+    plain = ad.formula_bundle()
+    fitted = fitting.fit_scaler(_states(spark, sf_dir)).orderBy("dim").collect()  # one row a dimension
+    bundle = replace(plain, scaler_mean=[r["mean"] for r in fitted], scaler_scale=[r["scale"] for r in fitted])
+    folder = _scratch(spark, "bundle")
+    save_bundle(bundle, folder, spark)
+    again = load_bundle(folder, spark)
+    rows = [(i, float(m), float(s)) for i, (m, s) in enumerate(zip(again.scaler_mean, again.scaler_scale))]
+    table = spark.createDataFrame(rows, "dim int, mean double, scale double")
+    return table.select("dim", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+@query
+def log_fan_in(spark, sf_dir):
+    """All logs of a folder in one read by their names: current and rotated ones of the five
+    known logs, compressed or not, and no others."""
+    folder = _scratch(spark, "fan-in")
+    lines = ad.log_lines(spark, sf_dir)
+    ordered = lines.withColumnRenamed("file", "log").repartition("log").sortWithinPartitions("log", "block", "pos")
+    ordered.select("log", "value").write.partitionBy("log").text(f"{folder}/written")
+    # Under the names that sensors give: the first of a kind current, the second for another
+    # tool, the others rotated.
+    for path, is_folder in list(files.children(spark, f"{folder}/written")):
+        if is_folder and "log=" in path:
+            kind, sensor = path.rsplit("log=", 1)[1].split("-")
+            part = next(p for p, _ in files.children(spark, path) if p.rsplit("/", 1)[-1].startswith("part-"))
+            name = {"0": f"{kind}.log", "1": f"other-{kind}.log"}.get(sensor, f"{kind}.day-{sensor}.log")
+            files.make_folder(spark, f"{folder}/logs/sensor-{sensor}")
+            files.rename(spark, part, f"{folder}/logs/sensor-{sensor}/{name}")
+    found = zeek.parse_log(zeek.read_log_lines(spark, f"{folder}/logs"))
+    name = F.regexp_extract("file", "([^/]+)$", 1)
+    return found.groupBy(name.alias("file"), "path").agg(
+        F.count(F.lit(1)).alias("records"), F.sum(F.size(F.map_keys("rec"))).alias("cells")
+    )
 
 
 # --- streams ------------------------------------------------------------------------
@@ -874,3 +987,36 @@ def stream_event_log(spark, sf_dir):
     ).awaitTermination()
     text = spark.read.option("recursiveFileLookup", "true").text(f"{base}/out")
     return _event_rows(text)
+
+
+@query
+def stream_event_counts(spark, sf_dir):
+    """Events written by a stream of log files that was stopped once, as its batches counted."""
+    base = _scratch(spark, "stream-counts")
+    lines = _with_headers(spark, sf_dir)
+    for odd in (0, 1):
+        _write_logs(lines.filter(F.col("block") % 2 == odd), f"{base}/in/{odd}")
+        stream_logs.start_log_stream(
+            stream_logs.log_stream(spark, f"{base}/in", "*.txt"),
+            f"{base}/out", f"{base}/checkpoint", available_now=True, counts=f"{base}/counts",
+        ).awaitTermination()
+    return stream_logs.event_count(spark, f"{base}/counts").select("events")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Two thirds of the flows arrive first; of the others those are late whose hour had
+    closed by then."""
+    base = _scratch(spark, "stream-late")
+    flows = ad.narrow_flows(spark, sf_dir).select("event_id", "timestamp")
+    schema = flows.schema
+    for part in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        flows.filter(part).write.mode("append").parquet(f"{base}/in")
+        read = spark.readStream.schema(schema).parquet(f"{base}/in")
+        stream_late.start_late_split(
+            read, f"{base}/split", f"{base}/checkpoint", available_now=True,
+            window_size=HOUR, delay="90 minutes", time_column="timestamp",
+        ).awaitTermination()
+    late = stream_late.read_late(spark, f"{base}/split", schema)
+    counts = stream_late.late_counts(spark, f"{base}/split").select("rows", "late_rows")
+    return late.select("event_id", _at("timestamp").alias("at")).join(F.broadcast(counts))

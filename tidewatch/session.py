@@ -55,6 +55,9 @@ def local_session(cores: int | str = 8, app: str = "tidewatch", **conf: str) ->
     return configure(spark)
 
 
+_fallbacks: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for tables that cut a long lineage.
 
@@ -66,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    # A running session does not take that setting any more, so the folder is kept here.
+    app = spark.sparkContext.applicationId
+    if app not in _fallbacks:
+        _fallbacks[app] = tempfile.mkdtemp(prefix="tidewatch-")
+    return _fallbacks[app]

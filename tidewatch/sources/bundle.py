@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import SparkSession
 
 from tidewatch.functions.names import state_names
+from tidewatch.plans import files
 
 
 class BundleMissingError(FileNotFoundError):
@@ -54,21 +56,23 @@ _PLAIN = (
 ).split()
 
 
-def save_bundle(bundle: Bundle, folder: str) -> None:
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "bundle.json"), "w") as out:
-        json.dump({name: getattr(bundle, name) for name in _PLAIN}, out)
-    np.savez(os.path.join(folder, "weights.npz"), **bundle.weights)
+def save_bundle(bundle: Bundle, folder: str, spark: SparkSession | None = None) -> None:
+    """Write a bundle to any folder that the session reaches."""
+    spark = spark or SparkSession.active()
+    plain = json.dumps({name: getattr(bundle, name) for name in _PLAIN})
+    arrays = io.BytesIO()
+    np.savez(arrays, **bundle.weights)
+    files.write_bytes(spark, f"{folder}/weights.npz", arrays.getvalue())
+    files.write_bytes(spark, f"{folder}/bundle.json", plain.encode())
 
 
-def load_bundle(folder: str) -> Bundle:
+def load_bundle(folder: str, spark: SparkSession | None = None) -> Bundle:
     """Read a bundle on the driver; its few megabytes reach executors as one broadcast."""
-    path = os.path.join(folder, "bundle.json")
-    if not os.path.exists(path):
+    spark = spark or SparkSession.active()
+    if not files.exists(spark, f"{folder}/bundle.json"):
         raise BundleMissingError(f"no bundle in {folder}")
-    with open(path) as source:
-        plain = json.load(source)
-    with np.load(os.path.join(folder, "weights.npz")) as stored:
+    plain = json.loads(files.read_bytes(spark, f"{folder}/bundle.json"))
+    with np.load(io.BytesIO(files.read_bytes(spark, f"{folder}/weights.npz"))) as stored:
         weights = {name: stored[name] for name in stored.files}
     return Bundle(**plain, weights=weights)
 

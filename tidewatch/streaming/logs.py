@@ -10,10 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.normalize import all_events
 from tidewatch.operators.rotation import slot_date, slot_key
+from tidewatch.plans import files
 from tidewatch.plans.materialize import temporary_tables
 from tidewatch.schemas import EVENT_ROTATION_MINUTES
 from tidewatch.sources.zeek import LOG_FILES, parse_log
 
+COUNTS = "events bigint"
+
 
 def log_stream(
     spark: SparkSession,
@@ -37,12 +40,16 @@ def log_stream(
 
 
 def event_writer(
-    out: str, rotation_minutes: int = EVENT_ROTATION_MINUTES, totals: dict | None = None
+    out: str,
+    rotation_minutes: int = EVENT_ROTATION_MINUTES,
+    totals: dict | None = None,
+    counts: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Batch function: parse, normalise, write below ``date=/slot=/batch=``.
 
     The slot comes from the batch time that Spark records with the offsets, so a replayed
-    batch replaces its own files. ``totals['events']`` counts events written.
+    batch replaces its own files. ``totals['events']`` counts events written by this process;
+    below ``counts`` each batch leaves what it wrote, so the sum holds over restarts.
     """
 
     def write(lines: DataFrame, batch_id: int) -> None:
@@ -66,12 +73,25 @@ def event_writer(
             )
             writer = stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy("date", "slot", "batch").text(out)
+        if counts is not None:
+            row = lines.sparkSession.createDataFrame([(counted.get["n"],)], COUNTS)
+            row.coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
         if totals is not None:
             totals["events"] = totals.get("events", 0) + counted.get["n"]
 
     return write
 
 
+def event_count(spark: SparkSession, counts: str) -> DataFrame:
+    """One row: events that all batches have written and how many batches there were."""
+    if not files.exists(spark, counts):
+        return spark.createDataFrame([(0, 0)], "events bigint, batches bigint")
+    read = spark.read.schema(COUNTS).option("recursiveFileLookup", "true").parquet(counts)
+    return read.agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.count(F.lit(1)).alias("batches")
+    )
+
+
 def start_log_stream(
     lines: DataFrame,
     out: str,
@@ -79,9 +99,10 @@ def start_log_stream(
     rotation_minutes: int = EVENT_ROTATION_MINUTES,
     available_now: bool = False,
     totals: dict | None = None,
+    counts: str | None = None,
 ) -> StreamingQuery:
     """Run the normaliser; a restart with the same checkpoint continues where it stopped."""
-    writer = lines.writeStream.foreachBatch(event_writer(out, rotation_minutes, totals))
+    writer = lines.writeStream.foreachBatch(event_writer(out, rotation_minutes, totals, counts))
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}
     return writer.trigger(**trigger).start()

@@ -9,7 +9,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm.set_join import Similar
 from tidewatch.llm.simhash import Search, keep_one, links, near_duplicates, neighbour_links
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -119,42 +118,23 @@ def test_keep_one(spark):
     assert isinstance(got, pd.DataFrame)
 
 
-def kept_by_jaccard(rows):
-    sets = []
-    for _, text in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
-        least[find(i)] = min(doc, least.get(find(i), doc))
-    return sorted(least.values())
-
-
-@pytest.mark.parametrize("how", [Similar(), Similar(frequent=2, rounds=1), Similar(frequent=3, rounds=0, marks=64)])
-def test_keep_one_by_similarity(spark, how):
+def test_keep_one_keeps_the_least_of_each_component(spark):
     rng = random.Random(5)
-    line = [f"c{i}" for i in range(30)]
     rows = [(0, ""), (1, None), (2, "a b"), (3, "A b"), (4, "a b c")]
     for group in range(25):
         words = [f"g{group}w{rng.randrange(500)}" for _ in range(rng.choice((6, 12, 40, 90, 200)))]
-        words = line + words if group % 3 == 0 else words
         for _ in range(8):
             copy = list(words)
             for _ in range(rng.randrange(0, 2 + len(words) // 40)):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(1000)}"
-            rows.append((len(rows), " ".join(copy[rng.randrange(2) * len(copy) // 10 :])))
-    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string"), how).toPandas()
-    want = kept_by_jaccard(rows)
-    assert 30 < len(want) < 150
-    assert sorted(got.doc_id) == want
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `meta.x` string")
+    got = keep_one(df).toPandas()
+    values = plain_fingerprints([t for _, t in rows])
+    roots = plain_components(values)
+    least = {}
+    for (i, _), v in zip(rows, values):
+        least[roots[v]] = min(i, least.get(roots[v], i))
+    assert list(got.columns) == ["doc_id", "text", "meta.x"]
+    assert sorted(got.doc_id) == sorted(least.values())
+    assert 30 < len(got) < len(rows)

@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import (
-    LOWER, NOT_SPACE, components, find_words, fresh, table, text_slices,
+    LOWER, NOT_SPACE, components, find_words, fresh, own_columns, table, text_slices,
 )
-from tidewatch.llm.set_join import Similar, sets_udf, similar_groups
 from tidewatch.plans.materialize import written
 
 BITS = 64
@@ -267,27 +266,22 @@ def near_duplicates(docs: DataFrame, search: Search = Search(), text: str = "tex
     )
 
 
-def keep_one(docs: DataFrame, how: Similar = Similar()) -> DataFrame:
-    """The documents that stay: of each group of similar ones the row with the least doc_id.
+def keep_one(docs: DataFrame, search: Search = Search()) -> DataFrame:
+    """The documents that stay: of each component the row with the least doc_id.
 
-    Similar are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more; groups are the components of these links. Null ids come last; of rows with the
-    same id and text one stays. Columns as given.
+    Null ids come last; of rows with the same id and text one stays. Columns as given.
     """
-    # Everything but the last join works on ids, hashes and shingles; texts move once.
+    # Everything but the last join works on ids, hashes and fingerprints; texts move once.
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("th")]
-    rows = docs.select(*own, sets_udf(how.words, False)(F.col("text")).alias("s")).select("id", "th", "s.sid")
-    firsts = written(rows.groupBy("sid").agg(F.min(F.struct("id", "th")).alias("least")), "distinct-sets")
-    # One text of each set is written, its shingles are made anew where they are used.
-    chosen = firsts.select("sid", "least.*")
-    sets = written(docs.select(*own, "text").join(chosen, ["id", "th"]).select("sid", "text"), "texts-of-sets")
-    found = similar_groups(sets, how)
-    member = firsts.join(found, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = written(docs.select(*own, fingerprint_udf(search.words)(F.col("text")).alias("fp")), "fingerprints")
+    firsts = written(rows.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least")), "distinct-fingerprints")
+    found = components(links(firsts.select("fp"), search))
+    member = firsts.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     stay = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     own_id, own_hash = fresh(docs, "id"), fresh(docs, "th")
     keyed = docs.withColumn(own_id, own[0]).withColumn(own_hash, own[1])
     kept = keyed.join(stay.toDF(own_id, own_hash), [own_id, own_hash], "left_semi")
-    return kept.dropDuplicates([own_id, own_hash]).select(*docs.columns)
+    return kept.dropDuplicates([own_id, own_hash]).select(*own_columns(docs))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

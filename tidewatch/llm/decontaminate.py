@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ALNUM, LOWER, cut_spans, find_words, fresh, table, text_slices, word_hashes
+from tidewatch.llm.common import ALNUM, LOWER, cut_spans, find_words, fresh, own_columns, table, text_slices, word_hashes
 from tidewatch.llm.fm_index import FMIndex
+from tidewatch.plans.materialize import written
 
 RESULT = (
     "n_words bigint, n_hit bigint, items array<string>, "
@@ -206,12 +207,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, how: Windows = W
     A null or empty text has no words. A null item id is the empty text; repeated items are
     found alike. An empty benchmark hits nothing. Every block of items is one more pass.
     """
-    # A block is sent to the tasks as it is; its size is bounded by ``block_bytes``.
-    blocks = list(item_blocks(benchmark, how)) or [([], [])]
-    found = F.lit(True)
+    # A block is sent to the tasks as it is; its size is bounded by ``block_bytes``. The driver
+    # holds one at a time: what the blocks before it found is written with the documents.
+    blocks = item_blocks(benchmark, how)
+    names, texts = next(blocks, ([], []))
+    out = docs.withColumn(name, hits_udf(phrases_of(names, texts, how), how)("text", F.lit(True)))
     for names, texts in blocks:
-        found = hits_udf(phrases_of(names, texts, how), how)("text", found)
-    return docs.withColumn(name, found)
+        out = written(out, "benchmark-hits")
+        out = out.withColumn(name, hits_udf(phrases_of(names, texts, how), how)("text", name))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> DataFrame:
@@ -229,7 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts and n_chars brought up to date."""
     name = fresh(docs, "found")
-    return cut_spans(with_hits(docs, benchmark, name, how), f"{name}.spans").select(*docs.columns)
+    return cut_spans(with_hits(docs, benchmark, name, how), f"{name}.spans").select(*own_columns(docs))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

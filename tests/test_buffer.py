@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import buffer as B
+from tidewatch.operators import time_layout as TL
 
 
 def arrivals(spark, times, sensor="s"):
@@ -157,3 +158,28 @@ def test_sizes_after_every_insert(spark, how):
         assert got[sensor, seq] == len(held[sensor])
     assert len(got) == len(rows)
     assert B.sizes_after_inserts(df.limit(0)).count() == 0
+
+
+def test_layout_by_time_opens_few_files(spark, tmp_path):
+    rng = random.Random(4)
+    times = [1000 + rng.randrange(5000) + rng.choice((0, 0.5)) for _ in range(400)] + [7000.0] * 50
+    table = str(tmp_path / "t")
+    TL.write_by_time(arrivals(spark, times).repartition(3), table, 8)
+    zones = TL.zones_of(spark, table).collect()
+    assert len(zones) > 5 and sum(z.flows for z in zones) == len(times)
+
+    def opened(df):
+        return len(df.inputFiles())
+
+    for start, end in ((1500, 1800), (None, 1200), (5900, None), (8000, None), (2000.5, 2000.5), (None, None)):
+        got = TL.rows_between(spark, table, start, end)
+        want = sorted(t for t in times if (start is None or t >= start) and (end is None or t <= end))
+        assert kept(got) == want
+        if start == 1500 or end == 1200:
+            assert opened(got) <= 2
+    assert opened(TL.rows_between(spark, table, 8000)) == 0
+    for n in (1, 5, 60, 449, 1000):
+        assert [r.ts_epoch for r in TL.oldest_of(spark, table, n).collect()] == sorted(times)[:n]
+        assert [r.ts_epoch for r in TL.newest_of(spark, table, n).collect()] == sorted(times, reverse=True)[:n]
+    assert opened(TL.oldest_of(spark, table, 5)) == 1 and opened(TL.newest_of(spark, table, 5)) == 1
+    assert TL.oldest_of(spark, str(tmp_path / "none")).count() == 0

@@ -436,6 +436,11 @@ SELECT sensor, arrival_seq, CAST(sum(1 - coalesce(n, 0)) OVER (PARTITION BY sens
 FROM inserts LEFT JOIN leaves USING (sensor, arrival_seq)""",
     "buffer_range": f"""WITH {ARRIVALS} SELECT ts_epoch, _id, src_ip, dst_port FROM arrivals
   WHERE ts_epoch BETWEEN {_d(RANGE[0])} AND {_d(RANGE[1])}""",
+    "buffer_range_by_zones": f"""WITH {ARRIVALS} SELECT ts_epoch, _id, src_ip, dst_port FROM arrivals
+  WHERE ts_epoch BETWEEN {_d(RANGE[0])} AND {_d(RANGE[1])}""",
+    "buffer_ends_by_zones": f"""WITH {ARRIVALS} (SELECT 'oldest' AS "end", ts_epoch FROM arrivals
+  ORDER BY ts_epoch LIMIT 7) UNION ALL (SELECT 'newest', ts_epoch FROM arrivals
+  ORDER BY ts_epoch DESC LIMIT 7)""",
     "buffer_prune": f"""WITH {ARRIVALS} SELECT CASE WHEN ts_epoch < {_d(RANGE[1] - 7 * 86400)}
   THEN 'removed' ELSE 'kept' END AS state, count(*) AS flows FROM arrivals GROUP BY 1""",
     "buffer_stats": f"""WITH {_kept(SENSOR_RETENTION)} SELECT count(*) AS flow_count,

@@ -13,7 +13,7 @@ from tidewatch.functions import names as fnames
 from tidewatch.functions import numeric, timeparse
 from tidewatch.operators import buffer as rolling
 from tidewatch.operators import detect as detection
-from tidewatch.operators import fitting, normalize, retention, rotation
+from tidewatch.operators import fitting, normalize, retention, rotation, time_layout
 from tidewatch.operators.flows import align_flows, check_flow_table
 from tidewatch.operators.sequences import capture_lengths, scaled_states, scaled_table, sequences
 from tidewatch.operators.states import (
@@ -471,6 +471,29 @@ def buffer_range(spark, sf_dir):
     return flows.select("ts_epoch", "_id", "src_ip", "dst_port")
 
 
+def _laid_out(spark: SparkSession, sf_dir: str) -> str:
+    table = _scratch(spark, "buffer-by-time")
+    time_layout.write_by_time(_arrivals(spark, sf_dir), table, 16)
+    return table
+
+
+@query
+def buffer_range_by_zones(spark, sf_dir):
+    """The range of buffer_range, from the files whose times meet it."""
+    rows = time_layout.rows_between(spark, _laid_out(spark, sf_dir), *RANGE)
+    schema = "timestamp string, src_ip string, dst_port bigint, _id string"
+    return rolling.read_flows(rows, schema).select("ts_epoch", "_id", "src_ip", "dst_port")
+
+
+@query
+def buffer_ends_by_zones(spark, sf_dir):
+    """The seven oldest and the seven newest flows, from the files at either end."""
+    table = _laid_out(spark, sf_dir)
+    ends = {"oldest": time_layout.oldest_of(spark, table, 7), "newest": time_layout.newest_of(spark, table, 7)}
+    found = [rows.select(F.lit(name).alias("end"), "ts_epoch") for name, rows in ends.items()]
+    return found[0].unionByName(found[1])
+
+
 @query
 def buffer_prune(spark, sf_dir):
     kept, removed = rolling.prune(_arrivals(spark, sf_dir), RANGE[1], 7 * 86400)

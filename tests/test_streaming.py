@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import buffer as B
 from tidewatch.operators.flows import align_flows
 from tidewatch.operators.states import window_states
+from tidewatch.sources.log_tail import tail_stream
 from tidewatch.streaming import buffer as SB
 from tidewatch.streaming import late as SLT
 from tidewatch.streaming import logs as SL
@@ -313,3 +314,51 @@ def start_logs_counted(spark, tmp):
         SL.log_stream(spark, str(tmp / "logs")), str(tmp / "out"), str(tmp / "checkpoint"), available_now=True,
         counts=str(tmp / "counts"),
     ).awaitTermination()
+
+
+def start_tail(spark, tmp, **options):
+    SL.start_log_stream(
+        tail_stream(spark, str(tmp / "logs"), **options), str(tmp / "out"), str(tmp / "checkpoint"), available_now=False,
+        headers=str(tmp / "headers"),
+    )
+    (query,) = spark.streams.active
+    query.processAllAvailable()
+    query.stop()
+
+
+def test_growing_and_rotated_logs(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    conn = logs / "conn.log"
+    conn.write_text(header("conn", ["ts", "proto"]) + "1\ttcp\n2\tu")
+    (logs / "other.log").write_text(header("other", ["ts"]) + "99\n")
+    start_tail(spark, tmp_path)
+    at = lambda *s: sorted(("connection", f"1970-01-01T00:00:{x:02d}Z") for x in s)
+    assert events(spark, tmp_path) == at(1)
+    with open(conn, "a") as f:
+        f.write("dp\n3\ttcp\n")  # the rest of a half line, and one more under the header read before
+    start_tail(spark, tmp_path)
+    assert events(spark, tmp_path) == at(1, 2, 3)
+    with open(conn, "a") as f:
+        f.write("4\ttcp\n")
+    conn.rename(logs / "conn.old.log")  # rotated with a line not read yet
+    conn.write_text(header("conn", ["proto", "ts"]) + "tcp\t5\n")
+    start_tail(spark, tmp_path)
+    assert events(spark, tmp_path) == at(1, 2, 3, 4, 5)
+    conn.write_text(header("conn", ["ts"]) + "6\n")  # emptied and begun anew under the same inode
+    start_tail(spark, tmp_path)
+    with open(conn, "a") as f:
+        f.write("".join(f"{x}\n" for x in range(7, 40)))
+    start_tail(spark, tmp_path, piece_bytes=7)
+    start_tail(spark, tmp_path)
+    assert events(spark, tmp_path) == at(*range(1, 40))
+
+
+def test_tail_from_now(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "dns.log").write_text(header("dns", ["ts", "query"]) + "1\tq\n")
+    start_tail(spark, tmp_path, from_now=True)
+    (logs / "conn.log").write_text(header("conn", ["ts"]) + "2\n")
+    start_tail(spark, tmp_path, from_now=True)
+    assert events(spark, tmp_path) == [("connection", "1970-01-01T00:00:02Z")]

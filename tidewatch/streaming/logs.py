@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.operators.normalize import all_events
 from tidewatch.operators.rotation import slot_date, slot_key
 from tidewatch.plans import files
-from tidewatch.plans.materialize import temporary_tables
+from tidewatch.plans.materialize import temporary_tables, written
 from tidewatch.schemas import EVENT_ROTATION_MINUTES
-from tidewatch.sources.zeek import LOG_FILES, parse_log
+from tidewatch.sources.zeek import LOG_FILES, header_states, parse_log
 
 COUNTS = "events bigint"
 
@@ -44,12 +44,15 @@ def event_writer(
     rotation_minutes: int = EVENT_ROTATION_MINUTES,
     totals: dict | None = None,
     counts: str | None = None,
+    headers: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Batch function: parse, normalise, write below ``date=/slot=/batch=``.
 
     The slot comes from the batch time that Spark records with the offsets, so a replayed
     batch replaces its own files. ``totals['events']`` counts events written by this process;
     below ``counts`` each batch leaves what it wrote, so the sum holds over restarts.
+    ``headers`` is for files that come in parts: the header in force at the end of each file is
+    kept there, and leads the file's lines in later batches.
     """
 
     def write(lines: DataFrame, batch_id: int) -> None:
@@ -59,11 +62,13 @@ def event_writer(
         ordered = lines.select(
             "file",
             "block",
-            F.monotonically_increasing_id().alias("pos"),
+            (F.col("pos") if "pos" in lines.columns else F.monotonically_increasing_id()).alias("pos"),
             F.regexp_replace("value", "[\\n\\r]+$", "").alias("value"),
         )
         counted = Observation()
         with temporary_tables(lines.sparkSession):
+            if headers is not None:
+                ordered = with_known_headers(written(ordered, "log-part"), headers, batch_id)
             events = all_events(parse_log(ordered))
             stamped = events.observe(counted, F.count(F.lit(1)).alias("n")).select(
                 F.col("json").alias("value"),
@@ -82,6 +87,47 @@ def event_writer(
     return write
 
 
+HEADERS = "file string, lines array<string>"
+
+
+def with_known_headers(lines: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Lines of a batch, those of each file led by the header that earlier batches left for it;
+    what now holds at the end of each file is kept for the next batch.
+
+    The table has a row for each file and a version for each batch; a replayed batch reads the
+    version before it and replaces its own.
+    """
+    spark = lines.sparkSession
+    versions = sorted(
+        int(path.rsplit("batch=", 1)[-1]) for path, _ in files.children(spark, folder) if files.exists(spark, f"{path}/_SUCCESS")
+    )
+    earlier = [v for v in versions if v < batch_id]
+    if earlier:
+        known = spark.read.schema(HEADERS).parquet(f"{folder}/batch={earlier[-1]}")
+    else:
+        known = spark.createDataFrame([], HEADERS)
+    met = lines.select("file").distinct()
+    lead = known.join(met, "file", "left_semi").select("file", F.posexplode("lines").alias("pos", "value"))
+    lead = lead.select("file", F.lit(-1).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos"), "value")
+    led = lines.unionByName(lead)
+    states = header_states(led).groupBy("file").agg(
+        F.max_by(F.struct("*"), F.struct("block", "from_pos")).alias("s")
+    )
+    sep = F.col("s.separator")
+    code = F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(sep))), 2, "0"))
+    said = F.array(
+        F.concat(F.lit("#separator "), F.when(F.length(sep) == 1, code).otherwise(sep)),
+        *[F.concat(F.lit(f"#{n} "), F.col(f"s.{n}")) for n in ("set_separator", "empty_field", "unset_field", "path")],
+        F.concat(F.lit("#fields"), F.when(sep.rlike("^\\s"), sep).otherwise(F.concat(F.lit(" "), sep)), F.expr("array_join(s.fields, s.separator)")),
+    )
+    now = states.select("file", F.filter(said, lambda line: line.isNotNull()).alias("lines"))
+    rest = known.join(met, "file", "left_anti")
+    now.unionByName(rest).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    for old in earlier[:-1]:
+        files.delete(spark, f"{folder}/batch={old}")
+    return led
+
+
 def event_count(spark: SparkSession, counts: str) -> DataFrame:
     """One row: events that all batches have written and how many batches there were."""
     if not files.exists(spark, counts):
@@ -100,9 +146,10 @@ def start_log_stream(
     available_now: bool = False,
     totals: dict | None = None,
     counts: str | None = None,
+    headers: str | None = None,
 ) -> StreamingQuery:
     """Run the normaliser; a restart with the same checkpoint continues where it stopped."""
-    writer = lines.writeStream.foreachBatch(event_writer(out, rotation_minutes, totals, counts))
+    writer = lines.writeStream.foreachBatch(event_writer(out, rotation_minutes, totals, counts, headers))
     writer = writer.option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}
     return writer.trigger(**trigger).start()

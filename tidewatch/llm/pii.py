@@ -24,14 +24,16 @@ from tidewatch.plans.materialize import written
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+HOST = re.compile(r"[A-Za-z0-9-]+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-# Looser proposals, on which the classifier decides.
+AT_SIGN = re.compile(r"[(\[] ?(?i:at) ?[)\]]")
+# Looser proposals, on which the classifier decides, as on matches that fail a strict check.
 LOOSE = (
-    (0, re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63} ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")),
-    (3, re.compile(r"(?<![0-9+.() -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    (0, re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]{0,63} ?[(\[] ?(?i:at) ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?(?i:dot) ?[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+")),
+    (3, re.compile(r"(?<![0-9+.(-])(?<![0-9)][ .-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     (2, re.compile(r"(?<![0-9-])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])")),
     (1, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
 )
@@ -64,9 +66,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(number of the kind, start, end) of the strict patterns, by kind and start."""
+def base_spans(text: str, failed: list | None = None) -> list[tuple[int, int, int]]:
+    """(number of the kind, start, end) of the strict patterns, by kind and start.
+
+    ``failed`` takes the matches that a check refuses: no dot in a host, parts beyond 255, a
+    wrong check digit, a wrong number of digits.
+    """
     out = []
+    failed = [] if failed is None else failed
     done, at = 0, text.find("@")
     while at >= 0:
         # The match at this sign starts where its run of local characters does, at the
@@ -77,28 +84,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         m = DOMAIN.match(text, at + 1) if start < at else None
         if m:
             out.append((0, start, m.end()))
+        elif start < at and (host := HOST.match(text, at + 1)):
+            failed.append((0, start, host.end()))
         done = m.end() if m else at + 1
         at = text.find("@", done)
     for m in IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
         if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
             out.append((1, m.start(), m.end()))
+        else:
+            failed.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() <= 40:
             digits = re.sub("[ -]", "", m[0])
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                out.append((2, m.start(), m.end()))
+            if 13 <= len(digits) <= 19:
+                (out if luhn(digits) else failed).append((2, m.start(), m.end()))
     for m in PHONE.finditer(text) if "+" in text else ():
-        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
-            out.append((3, m.start(), m.end()))
+        good = 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15
+        (out if good else failed).append((3, m.start(), m.end()))
     return out
 
 
-def votes(text: str, kind: int, start: int, end: int, strict: bool, how: Supervise) -> str:
-    """One letter for each labeler: y (personal), n (not), or - (no opinion)."""
+def votes(text: str, kind: int, start: int, end: int, regex: str, how: Supervise) -> str:
+    """One letter for each labeler: y (personal), n (not), or - (no opinion).
+
+    ``regex`` is the strict patterns' vote: y for a match, n for one that fails, - for none.
+    """
+    strict = regex == "y"
     span, before = text[start:end], text[max(0, start - how.reach) : start]
     digits = re.sub("[^0-9]", "", span)
-    regex = "y" if strict else "-"
     if kind == 0:
         gazetteer = "y" if re.split(r"[.\])( ]+", span.lower())[-1] in TOP_DOMAINS else "n"
         check = "y" if strict or re.search(r"dot|\.", span, re.I) else "n"
@@ -121,22 +135,28 @@ LABELERS = 6
 
 
 def proposals(text: str, how: Supervise) -> list[dict]:
-    """Strict spans first, by kind and start, then looser ones that overlap none of them."""
-    strict = base_spans(text)
-    out = [(k, a, b, True) for k, a, b in strict]
-    if any(c.isdigit() for c in text) or "(at)" in text or "[at]" in text:
+    """Strict spans first, by kind and start, then failed and looser ones that overlap none of
+    them nor each other."""
+    failed: list = []
+    strict = base_spans(text, failed)
+    out = [(k, a, b, "y") for k, a, b in strict]
+    more = [(k, a, b, "n") for k, a, b in failed]
+    digits = any(c.isdigit() for c in text)
+    for kind, pattern in LOOSE:
+        if AT_SIGN.search(text) if kind == 0 else digits:
+            more += [(kind, m.start(), m.end(), "-") for m in pattern.finditer(text)]
+    if more:
         taken = sorted((a, b) for _, a, b in strict)
         starts = np.array([a for a, _ in taken], np.int64)
         stops = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
-        for kind, pattern in LOOSE:
-            if kind == 0 and not re.search(r"[(\[] ?at ?[)\]]", text, re.I):
-                continue
-            for m in pattern.finditer(text):
-                i = int(np.searchsorted(starts, m.end()))
-                if i == 0 or stops[i - 1] <= m.start():
-                    out.append((kind, m.start(), m.end(), False))
+        last = 0
+        for kind, a, b, regex in sorted(more, key=lambda s: (s[1], -s[2], s[3] != "n", s[0])):
+            i = int(np.searchsorted(starts, b))
+            if a >= last and (i == 0 or stops[i - 1] <= a):
+                out.append((kind, a, b, regex))
+                last = b
     return [
-        {"kind": k, "start": a, "end": b, "strict": s, "votes": votes(text, k, a, b, s, how)} for k, a, b, s in out
+        {"kind": k, "start": a, "end": b, "strict": v == "y", "votes": votes(text, k, a, b, v, how)} for k, a, b, v in out
     ]
 
 
@@ -211,11 +231,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-RESULT = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+RESULT = (
+    "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, chances string"
+)
 
 
 def decide_udf(chances: dict[tuple[int, str], float], how: Supervise):
-    kind = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    kind = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("chances", pa.string())])
 
     @F.arrow_udf(RESULT)
     def decide(proposed: pa.Array) -> pa.Array:
@@ -232,6 +254,10 @@ def decide_udf(chances: dict[tuple[int, str], float], how: Supervise):
                     **{f"n_{k}": int(n) for k, n in zip(KINDS, counts)},
                     "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
                     "spans": joined(sorted({*base, *more})),
+                    "chances": ",".join(
+                        f"{KINDS[s['kind']]}:{s['start']}:{s['end']}:{chances[s['kind'], s['votes']]:.3f}"
+                        for s in sorted(row, key=lambda s: (s["kind"], s["start"]))
+                    ),
                 })
         return pa.array(out, kind)
 
@@ -239,7 +265,8 @@ def decide_udf(chances: dict[tuple[int, str], float], how: Supervise):
 
 
 def find_personal_data(docs: DataFrame, how: Supervise = Supervise()) -> DataFrame:
-    """doc_id, counts and digest of the strict spans, and all spans.
+    """doc_id, counts and digest of the strict spans, all spans, and the classifier's chance of
+    every proposal, also of those it refuses.
 
     A null text is the empty one, without spans. Repeated rows stay and count in the
     statistics; ids may be null. Without any proposal nothing is trained and nothing added.

@@ -36,6 +36,13 @@ ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A run that is broken into lines, as in mail and key files.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Signs that are encoded over and over: what each more round adds, eight rounds or longer.
+CHAIN = re.compile(r"(?i)(?:(?<=%)(?:25){9,}|(?<=\\)(?:u005c){9,}|(?<=\\)(?:x5c){9,}|(?<=&)(?:#38;){9,}|(?<=&)(?:#x26;){9,})")
+UNITS = ("25", "u005c", "x5c", "#38;", "#x26;")
+#: Where compressed bytes may begin within decoded ones.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 
 #: Bytes that may stand inside a match or an encoded run; inflated data is cut at others.
@@ -60,8 +67,8 @@ class Unwrap:
 
 @dataclass(frozen=True)
 class Layer:
-    """Text with the span of the original that each character came from; without arrays the
-    whole layer came from one span."""
+    """Text with the span of the original that each character came from, in 32 bits; without
+    arrays the whole layer came from one span."""
 
     text: str
     start: np.ndarray | int
@@ -104,8 +111,8 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         parts.append(new)
         if not fixed:
             a, b = layer.span(m.start(), m.end())
-            starts.append(np.full(len(new), a))
-            ends.append(np.full(len(new), b))
+            starts.append(np.full(len(new), a, np.int32))
+            ends.append(np.full(len(new), b, np.int32))
         at = m.end()
     if not changed:
         return None
@@ -217,17 +224,44 @@ def _layers_of(blocks, span: tuple[int, int], how: Unwrap, beyond: list):
                 yield Layer(text, *span)
 
 
-def _from_base64(layer: Layer, how: Unwrap, beyond: list):
-    """Layers of the base64 runs."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
+def _shortened(m: re.Match) -> str:
+    """Eight rounds of a chain; the others would only take off one unit each."""
+    unit = next(u for u in UNITS if m[0].lower().startswith(u))
+    return m[0][: 8 * len(unit)]
+
+
+def _begins_packed(raw: bytes) -> list[int]:
+    """Where, beyond the first byte, something begins that does inflate."""
+    found = []
+    for m in PACKED.finditer(raw, 1):
         try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        yield from _layers_of([raw], layer.span(m.start(), m.end()), how, beyond)
+            if zlib.decompressobj(47).decompress(raw[m.start() : m.start() + 4096], 64):
+                found.append(m.start())
+        except zlib.error:
+            pass
+    return found
+
+
+def _from_base64(layer: Layer, how: Unwrap, beyond: list):
+    """Layers of the base64 runs, broken into lines or not.
+
+    Characters of the alphabet may stand right before what was encoded, so a run is read in
+    all four alignments; a single character left at its end says nothing.
+    """
+    for pattern in (WRAPPED, BASE64):
+        for m in pattern.finditer(layer.text):
+            body = m[0].rstrip("=")
+            if pattern is WRAPPED:
+                body = re.sub(r"[ \t\r\n]", "", body)
+            body = body.replace("-", "+").replace("_", "/")
+            for skip in range(4):
+                part = body[skip:]
+                part = part[: len(part) - (len(part) % 4 == 1)]
+                raw = base64.b64decode(part + "=" * (-len(part) % 4))
+                span = layer.span(m.start(), m.end())
+                yield from _layers_of([raw], span, how, beyond)
+                for at in _begins_packed(raw):
+                    yield from _layers_of([raw[at:]], span, how, beyond)
 
 
 def _byte_of(m: re.Match, kind: re.Pattern) -> int:
@@ -283,7 +317,7 @@ def _from_packed(layer: Layer, kind: re.Pattern, how: Unwrap, beyond: list):
 
 
 def scan(text: str, how: Unwrap = Unwrap()) -> tuple[list, list, int, int]:
-    """Base spans, all spans, how many layers were scanned and how many things were not."""
+    """Base spans, all spans, how many layers were scanned and in how many spans something was not."""
     base = base_spans(text)
     found, layers = set(base), 1
     beyond: list = []
@@ -303,34 +337,51 @@ def scan(text: str, how: Unwrap = Unwrap()) -> tuple[list, list, int, int]:
         """The layers within a layer, made one at a time."""
         if "%" in layer.text:
             yield from _from_packed(layer, URL_BYTE, how, beyond)
-            if inner := _substituted(layer, URL, _from_url):
-                yield inner
         if "\\" in layer.text or "&#" in layer.text:
             yield from _from_packed(layer, ESCAPE_BYTE, how, beyond)
-            if inner := _substituted(layer, ESCAPE, _from_escape):
-                yield inner
         yield from _from_base64(layer, how, beyond)
 
-    work = []
+    def decoded(layer: Layer) -> list[Layer]:
+        """The layer with its escapes replaced, of one kind or the other."""
+        if short := _substituted(layer, CHAIN, _shortened):
+            return [short]
+        kinds = []
+        if "\\" in layer.text or "&#" in layer.text:
+            kinds.append((ESCAPE, _from_escape))
+        if "%" in layer.text:
+            kinds.append((URL, _from_url))
+        return [inner for kind in kinds if (inner := _substituted(layer, *kind))]
+
+    # A layer is let go once its inner ones are made: of a chain of escapes one is held.
+    work: list = []
     if "%" in text or "\\" in text or "&#" in text or BASE64.search(text):
-        at = np.arange(len(text))
-        work.append(unwrapped(Layer(text, at, at + 1)))
+        at = np.arange(len(text) + 1, dtype=np.int32)
+        work.append(Layer(text, at[:-1], at[1:]))
+    first = True
     while work:
-        layer = next(work[-1], None)
-        if layer is None:
-            work.pop()
-            continue
+        layer = work.pop()
+        if not isinstance(layer, Layer):  # the rest of the layers within one
+            inner = next(layer, None)
+            if inner is None:
+                continue
+            work.append(layer)
+            layer = inner
         if not is_new(layer):
             continue
-        if how.layers is not None and layers >= how.layers:
-            beyond.append(None)
-            break
-        layers += 1
-        for a, kind, b in base_spans(layer.text):
-            start, end = layer.span(a, b)
-            found.add((start, kind, end))
-        work.append(unwrapped(layer))
-    return base, sorted(found), layers, len(beyond)
+        if not first:
+            if how.layers is not None and layers >= how.layers:
+                beyond.append(None)
+                break
+            layers += 1
+            for a, kind, b in base_spans(layer.text):
+                start, end = layer.span(a, b)
+                found.add((start, kind, end))
+        first = False
+        work += decoded(layer)
+        if "%" in layer.text or "\\" in layer.text or "&#" in layer.text or BASE64.search(layer.text):
+            work.append(unwrapped(layer))
+        del layer
+    return base, sorted(found), layers, len(set(beyond))
 
 
 def joined(spans: list) -> str:

@@ -22,8 +22,12 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Words that put the URLs of a host on the list, where they are a part of one of its labels.
-LISTED_WORDS = ("casino", "pills", "poker", "viagra", "lottery")
+#: Words that put the URLs of a host on the list, where one stands in a label by itself or
+#: between hyphens: gambling, pharmacy, adult, spam and advertising hosts of any domain.
+LISTED_WORDS = (
+    "casino", "bets", "poker", "lottery", "pills", "viagra", "adult", "xxx", "spam", "ads",
+)
+LISTED_HOST = r"(^|[.-])(" + "|".join(LISTED_WORDS) + r")([.-]|$)"
 URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,7 +134,7 @@ def filter_urls(
 
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The query's list: URLs of hosts with one of the listed words in a label."""
-    return pages.select("url").filter(host_of(F.col("url")).rlike("|".join(LISTED_WORDS)))
+    return pages.select("url").filter(host_of(F.col("url")).rlike(LISTED_HOST))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -161,7 +165,7 @@ c AS (
          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/'
     END AS rule
   FROM p),
-l AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '{"|".join(LISTED_WORDS)}'))
+l AS (SELECT DISTINCT key FROM c WHERE regexp_matches(host, '{LISTED_HOST}'))
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN key IN (SELECT key FROM l WHERE key IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict

@@ -63,20 +63,24 @@ def sentence_features(data: np.ndarray, offsets: np.ndarray, how: Learn):
 _INTS = ArrayType(IntegerType())
 
 
-@F.arrow_udf(StructType().add("feature", _INTS).add("sentence", _INTS))
-def _features_udf(texts: pa.Array) -> pa.Array:
-    how = Learn()
-    out = []
-    for _, data, offsets in text_slices(texts):
-        features, sentence, row, _, _ = sentence_features(data, offsets, how)
-        owner = row[sentence] if len(sentence) else sentence
-        cuts = np.searchsorted(owner, np.arange(len(offsets)))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            s = sentence[a:b] - (sentence[a] if b > a else 0)
-            kind, word = np.nonzero(features[:, a:b] >= 0)
-            pairs = np.unique(s[word] * how.size + features[kind, a + word])
-            out.append({"feature": (pairs % how.size).astype(np.int32), "sentence": (pairs // how.size).astype(np.int32)})
-    return pa.array(out, pa.struct([("feature", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32()))]))
+def features_udf(how: Learn):
+    """Column function: distinct pairs of feature and sentence of a text."""
+
+    @F.arrow_udf(StructType().add("feature", _INTS).add("sentence", _INTS))
+    def features_of(texts: pa.Array) -> pa.Array:
+        out = []
+        for _, data, offsets in text_slices(texts):
+            features, sentence, row, _, _ = sentence_features(data, offsets, how)
+            owner = row[sentence] if len(sentence) else sentence
+            cuts = np.searchsorted(owner, np.arange(len(offsets)))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                s = sentence[a:b] - (sentence[a] if b > a else 0)
+                kind, word = np.nonzero(features[:, a:b] >= 0)
+                pairs = np.unique(s[word] * how.size + features[kind, a + word])
+                out.append({"feature": (pairs % how.size).astype(np.int32), "sentence": (pairs // how.size).astype(np.int32)})
+        return pa.array(out, pa.struct([("feature", pa.list_(pa.int32())), ("sentence", pa.list_(pa.int32()))]))
+
+    return features_of
 
 
 def fit(features: list[np.ndarray], sentences: list[np.ndarray], y: np.ndarray, weight: np.ndarray, how: Learn):
@@ -123,7 +127,7 @@ def fit(features: list[np.ndarray], sentences: list[np.ndarray], y: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, how: Learn) -> np.ndarray:
     """Weights from a bounded sample outside the held-out fold."""
     sample = labelled(docs.select("doc_id", "text"), labels, "toxic", fold(3) != 1, how.sample)
-    got = sample.select(_features_udf("text").alias("x"), "y", "weight").toArrow()
+    got = sample.select(features_udf(how)("text").alias("x"), "y", "weight").toArrow()
     x = got["x"].combine_chunks() if got.num_rows else None
     fs, ss = ([a.values.to_numpy() for a in x.field(k)] for k in (0, 1)) if got.num_rows else ([], [])
     return fit(fs, ss, np.asarray(got["y"], float), np.asarray(got["weight"], float), how)

@@ -124,6 +124,20 @@ def test_mixing(spark):
     assert mixed_words(docs.limit(0), mix).count() == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources far smaller than a block: the last block is cut to what the target lacks."""
+    rows = [(i, " ".join(f"w{k}" for k in range(7)), f"s{i % 60:03d}") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixed_words(docs).collect()
+    taken = {}
+    for r in got:
+        taken.setdefault(rows[r.doc_id][2], [r.target, 0])[1] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(n - t) <= 1 for t, n in taken.values())
+    shards = mixed_shards(docs).collect()
+    assert sum(len(r.text.split()) for r in shards) == sum(r.taken for r in got)
+
+
 @pytest.mark.parametrize("bloom", [Bloom(), Bloom(bits_per_url=1, max_blocks=1)])
 def test_url_filter(spark, bloom):
     urls = {
@@ -141,6 +155,35 @@ def test_url_filter(spark, bloom):
     assert filter_urls(pages.limit(0), listed.limit(0), bloom=bloom).count() == 0
 
 
+def test_the_list_decides_on_given_pages(spark):
+    """Some page that no rule fits is blocked by the list alone, and some possible hit of the
+    filter is let through by the join."""
+    from tidewatch.llm import url_filter as U
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    small = Bloom(bits_per_url=2, probes=2)
+    got = filter_urls(pages, U.listed_urls(pages), bloom=small)
+    free = got.filter("rule is null")
+    assert free.filter("verdict = 'block'").count() > 0
+    keys = U.listed_urls(pages).select(U.canonical(U.F.col("url")).alias("key")).distinct()
+    blocks = max(1, -(-keys.count() * small.bits_per_url // 64))
+    block, bits = U._address(U.canonical(U.F.col("url")), blocks, small.probes)
+    probed = free.withColumn("block", block).withColumn("bits", bits).join(U.bloom_filter(keys, blocks, small), "block")
+    possible = probed.filter(U.F.col("filled").bitwiseAND(U.F.col("bits")) == U.F.col("bits"))
+    assert possible.filter("verdict = 'allow'").count() > 0
+    exact = filter_urls(pages, U.listed_urls(pages))
+    assert sorted(map(tuple, exact.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
+
+
+def test_other_features_of_sentences(spark):
+    from tidewatch.llm.toxicity import Learn, toxicity_scores
+
+    docs = spark.createDataFrame([(i, "you are vile" if i % 2 else "good day") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, labels, Learn(size=1 << 10, prefixes=(2,))).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 

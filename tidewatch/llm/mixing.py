@@ -5,7 +5,8 @@ one stream of words that is cut into blocks. Output shards have a fixed number o
 sources of a shard's slots are a multinomial draw. What a source is drawn beyond its quota
 goes to the sources that were drawn too little, so every source meets its target. The k-th
 slot of a source takes the block at place k of a pseudorandom permutation of its blocks
-(a swap-or-not shuffle, exact on any number of blocks; a new one for each pass).
+(a swap-or-not shuffle, exact on any number of blocks; a new one for each pass). A source's
+last block is cut to what its target lacks, so a source of few words meets it, too.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class Mix:
 
 
 def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
-    """One row per source: rank, source_size, target, blocks and quota of blocks.
+    """One row per source: rank, source_size, target, blocks, quota of blocks, and how many words
+    the last of these blocks gives.
 
     Filling to a level: in the order of cap by weight a source is capped if its cap is at
     most its share of what the ones before leave.
@@ -74,11 +76,16 @@ def source_plan(sized: DataFrame, mix: Mix) -> DataFrame:
     )
     rows = rows.withColumn("blocks", F.expr(f"(source_size + {mix.block - 1}) div {mix.block}"))
     passes = F.floor(F.col("target") / F.col("source_size"))
-    rest = (F.col("target") - passes * F.col("source_size")) / mix.block
-    return rows.withColumn(
-        "quota",
-        F.when(F.col("source_size") > 0, passes * F.col("blocks") + F.floor(rest + 0.5)).otherwise(0),
-    ).select("source", "rank", "source_size", "target", "blocks", F.col("quota").cast("long"))
+    # Words beyond whole passes, in full blocks and a rest.
+    rest = F.floor(F.col("target") - passes * F.col("source_size") + 0.5).cast("long")
+    filled = F.col("source_size") > 0
+    rows = rows.withColumn("rest", F.when(filled, rest).otherwise(0))
+    some = F.when(filled, passes * F.col("blocks")).otherwise(0)
+    rows = rows.withColumn("quota", (some + F.expr(f"(rest + {mix.block - 1}) div {mix.block}")).cast("long"))
+    last = F.when(F.col("rest") > 0, F.expr(f"(rest - 1) % {mix.block} + 1")).otherwise(F.lit(mix.block))
+    return rows.withColumn("last_words", last.cast("long")).select(
+        "source", "rank", "source_size", "target", "blocks", "quota", "last_words"
+    )
 
 
 def permuted(index: Column, n: Column, key: Column, rounds: int) -> Column:
@@ -122,7 +129,8 @@ def placed_documents(sized: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
 
 
 def drawn_slots(plan: DataFrame, mix: Mix) -> DataFrame:
-    """Rows (shard, slot, rank, block, pass): which block stands in which slot.
+    """Rows (shard, slot, rank, block, pass, cut): which block stands in which slot, and up to
+    how many of its words.
 
     The plan has one row per source and is held as literals; nothing here depends on the
     number of documents but the range of slots.
@@ -185,7 +193,9 @@ def drawn_slots(plan: DataFrame, mix: Mix) -> DataFrame:
     placed = placed.withColumn("blocks", blocks).withColumn("pass", F.expr("k div blocks"))
     key = F.concat_ws(":", F.lit(mix.seed), F.col("rank").cast("string"), F.col("pass").cast("string"))
     at = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), key, mix.rounds)
-    return placed.select("shard", "slot", F.col("rank").cast("long"), at.alias("block"), "pass")
+    last = F.col("k") == pick(quota, F.col("rank")) - 1
+    words = F.when(last, pick([r["last_words"] for r in rows], F.col("rank"))).otherwise(F.lit(mix.block))
+    return placed.select("shard", "slot", F.col("rank").cast("long"), at.alias("block"), "pass", words.alias("cut"))
 
 
 def _pieces(placed: DataFrame, mix: Mix) -> DataFrame:
@@ -209,13 +219,18 @@ def mixed_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     sized = written(sized_documents(docs), "mix-sizes")
     plan = written(source_plan(sized, mix), "mix-plan")
-    used = drawn_slots(plan, mix).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    whole = F.col("cut") == mix.block
+    used = drawn_slots(plan, mix).groupBy("rank", "block").agg(
+        F.count_if(whole).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("cut"))), F.lit(0)).alias("cut")
+    )
+    begin = F.col("start") + F.col("from") - F.col("block") * mix.block  # of the piece in its block
+    cut = F.greatest(F.lit(0), F.least(begin + F.col("words"), F.coalesce("cut", F.lit(0))) - begin)
     pieces = _pieces(placed_documents(sized, plan, mix), mix).withColumn("rank", F.col("rank").cast("long"))
     kept = ["doc_id", "size", "source_size", "target"]
     taken = (
         pieces.join(used, ["rank", "block"], "left")
         .groupBy(*kept, "rank", "start")
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0)) + cut).cast("long").alias("taken"))
         .select(*kept, "taken")
     )
     known = F.broadcast(plan.withColumnRenamed("source", "plan_source"))
@@ -237,7 +252,10 @@ def mixed_shards(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", part.alias("p")))), lambda s: s["p"])), " "
         ).alias("text")
     )
-    return drawn_slots(plan, mix).join(blocks, ["rank", "block"]).select("shard", "slot", "source", "text")
+    slots = drawn_slots(plan, mix).join(blocks, ["rank", "block"])
+    # A block cut short keeps its first words.
+    text = F.when(F.col("cut") < mix.block, F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("cut").cast("int"))).otherwise(F.col("text"))
+    return slots.select("shard", "slot", "source", text.alias("text"))
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
@@ -253,7 +271,7 @@ def _sql(mix: Mix = Mix()) -> str:
         rounds.append(
             f"o{r} AS (SELECT *, ((('0x' || substr(md5({key}), 1, 12))::BIGINT % blocks - x) % blocks + blocks)"
             f" % blocks AS y FROM {was}),\n"
-            f"r{r} AS (SELECT rank, blocks, key, CASE WHEN substr(md5({key} || ':' || greatest(x, y)), 1, 1)"
+            f"r{r} AS (SELECT rank, blocks, cut, key, CASE WHEN substr(md5({key} || ':' || greatest(x, y)), 1, 1)"
             f" < '8' THEN y ELSE x END AS x FROM o{r})"
         )
     return rf"""
@@ -271,19 +289,24 @@ s5 AS (SELECT *, words - sum(CASE WHEN capped THEN c ELSE 0 END) OVER ()::BIGINT
   sum(CASE WHEN capped THEN 0 ELSE w END) OVER ()::BIGINT AS open_w FROM s4),
 s6 AS (SELECT source, rank, source_size, CASE WHEN capped THEN c::DOUBLE ELSE w * rest / open_w END AS target,
   (source_size + {b - 1}) // {b} AS blocks FROM s5),
-plan AS (SELECT *, CASE WHEN source_size > 0 THEN (floor(target / source_size) * blocks
-  + floor((target - floor(target / source_size) * source_size) / {b} + 0.5))::BIGINT ELSE 0 END AS quota FROM s6),
-slots AS (SELECT rank, blocks, unnest(range(quota)) AS k FROM plan),
-perm AS (SELECT rank, blocks, '{mix.seed}:' || rank || ':' || (k // blocks) AS key, k % blocks AS x FROM slots),
+s7 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target - floor(target / source_size) * source_size + 0.5)::BIGINT
+  ELSE 0 END AS over FROM s6),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT * blocks ELSE 0 END
+  + (over + {b - 1}) // {b} AS quota, CASE WHEN over > 0 THEN (over - 1) % {b} + 1 ELSE {b} END AS last_words FROM s7),
+slots AS (SELECT rank, blocks, quota, last_words, unnest(range(quota)) AS k FROM plan),
+perm AS (SELECT rank, blocks, CASE WHEN k = quota - 1 THEN last_words ELSE {b} END AS cut,
+  '{mix.seed}:' || rank || ':' || (k // blocks) AS key, k % blocks AS x FROM slots),
 {",".join(rounds)},
-used AS (SELECT rank, x AS block, count(*) AS times FROM r{mix.rounds - 1} GROUP BY ALL),
+used AS (SELECT rank, x AS block, count(*) FILTER (cut = {b}) AS times,
+  coalesce(max(cut) FILTER (cut < {b}), 0) AS cut FROM r{mix.rounds - 1} GROUP BY ALL),
 placed AS (SELECT s.rid, s.doc_id, s.size, p.rank,
   coalesce(sum(s.size) OVER (PARTITION BY p.rank ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null')), s.doc_id, s.size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE s.size > 0),
 pieces AS (SELECT *, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM placed),
 taken AS (SELECT rid, sum((least(start + size, (i.block + 1) * {b}) - greatest(start, i.block * {b}))
-  * coalesce(times, 0))::BIGINT AS taken FROM pieces i LEFT JOIN used u ON i.rank = u.rank AND i.block = u.block GROUP BY rid)
+  * coalesce(times, 0) + greatest(0, least(start + size, i.block * {b} + coalesce(cut, 0))
+  - greatest(start, i.block * {b})))::BIGINT AS taken FROM pieces i LEFT JOIN used u ON i.rank = u.rank AND i.block = u.block GROUP BY rid)
 SELECT s.doc_id, s.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN taken t USING (rid)
 """

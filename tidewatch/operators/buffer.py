@@ -179,10 +179,11 @@ def newest(rows: DataFrame, count: int = 5) -> DataFrame:
     return rows.orderBy(F.desc("ts_epoch"), F.desc("payload")).limit(count)
 
 
-def flow_text(payload: Column) -> Column:
-    """One-line summary of a buffered flow: '[time] src:port -> dst:port (protocol)'."""
-    flow = F.from_json(payload, "map<string,string>")
+def _flow_map(payload: Column) -> Column:
+    return F.from_json(payload, "map<string,string>")
 
+
+def _flow_line(flow: Column) -> Column:
     def show(name: str) -> Column:
         given = F.coalesce(F.try_element_at(flow, F.lit(name)), F.lit("None"))
         return F.when(F.map_contains_key(flow, F.lit(name)), given).otherwise("N/A")
@@ -194,12 +195,19 @@ def flow_text(payload: Column) -> Column:
     return F.when(flow.isNull(), "Invalid JSON").otherwise(text)
 
 
+def flow_text(payload: Column) -> Column:
+    """One-line summary of a buffered flow: '[time] src:port -> dst:port (protocol)'."""
+    return _flow_line(_flow_map(payload))
+
+
 def listing(rows: DataFrame) -> DataFrame:
     """Rows as the inspection report shows them."""
-    return rows.select(
+    # The text is parsed once, not for each of its fields.
+    parsed = computed_once(rows.select("ts_epoch", "payload"), "_flow", _flow_map(F.col("payload")))
+    return parsed.select(
         "ts_epoch",
         millisecond_text(F.col("ts_epoch")).alias("at"),
-        flow_text(F.col("payload")).alias("flow"),
+        _flow_line(F.col("_flow")).alias("flow"),
     )
 
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidewatch.llm.alignment import Align, Aligner, ByteBpe, Pieces, aligned, coalesced, linked_ids
+from tidewatch.llm.alignment import Align, Aligner, ByteBpe, Pieces, aligned, coalesced, from_steps, in_steps, linked_ids
 
 A, B = Align().a, Align().b
 
@@ -62,6 +62,7 @@ def odd_texts():
     texts += [None, "", " ", "  ", "\n", " a ", "a  ", "a\n", "a\n b", "a\n  b", "a \n b", "▁", "a ▁b", "x" * 700, "é" * 300]
     texts += ["plain words, plain words.", "plain words, plain words.", "<s> </s> <|endoftext|> <0x0A>", "don't we'll it's"]
     texts += [" ".join(rng.choice(["alpha", "beta", "gamma", "Straße", "naïve", "x1"], 4000))]
+    texts += [" the" * 1000 + " end"]
     return texts
 
 
@@ -107,6 +108,18 @@ def test_whole_texts_where_pieces_do_not_hold(tools):
     assert [own.counts[n[0], 1] for n in numbers if own.counts[n[0], 0]] == [e[0] for e in plain(texts, tools) if e[0]]
 
 
+def test_steps():
+    doc, piece = np.array([0, 0, 2, 2, 2, 4]), np.array([3, 9, 0, 5, 6, 2])
+    often = np.array([1, 127, 128, 300, 2, 254])
+    steps, counts, sizes = in_steps(doc, piece, often, 6)
+    assert sizes.tolist() == [2, 0, 6, 0, 2, 0] and counts.max() == 127 and counts.min() == 1
+    back = from_steps(steps, sizes)
+    total = Counter()
+    for d, p, n in zip(np.repeat(np.arange(6), sizes), back, counts):
+        total[d, p] += n
+    assert total == Counter(dict(zip(zip(doc, piece), often)))
+
+
 def test_groups_and_wide_groups():
     number, side, group = coalesced(np.array([2, 3, 6]), np.array([1, 3, 4, 6]))
     assert list(zip(number, side, group)) == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (2, 0, 1), (2, 1, 1), (3, 1, 1)]

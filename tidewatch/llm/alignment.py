@@ -41,7 +41,7 @@ class Align:
     a: str = "/opt/tokenizers/byte_bpe_50k.json"
     b: str = "/opt/tokenizers/piece_bpe_32k.model"
     chunk: int = 1 << 22
-    memory: int = 1 << 21
+    memory: int = 1 << 20
 
 
 #: Pieces end before a space that follows a character that is no white space.
@@ -247,7 +247,7 @@ class Aligner:
             yield PIECE.findall(text)
         else:
             found = (m.group() for m in PIECE.finditer(text))
-            while some := list(islice(found, 1 << 18)):
+            while some := list(islice(found, 1 << 16)):
                 yield some
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -274,7 +274,7 @@ class Aligner:
                 waiting.append(pieces)
                 sizes.append((len(out) - 1, len(pieces)))
                 n += len(pieces)
-                if n > 1 << 18:
+                if n > 1 << 16:
                     flush()
                     n = 0
         flush()
@@ -297,8 +297,9 @@ def _aligner(how: Align) -> Aligner:
 _CHUNKS = pa.schema([
     ("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
     ("n_links", pa.int64()), ("groups_sha256", pa.string()),
-    # Of a document: its distinct pieces and how often it has them.
-    ("pieces", pa.list_(pa.int32())), ("often", pa.list_(pa.int32())),
+    # Of a document: its distinct pieces as steps from one to the next, and how often it has
+    # them; small numbers, as most of what travels is this.
+    ("pieces", pa.list_(pa.int32())), ("often", pa.list_(pa.int8())),
     # Of the chunk's own row: the ends of its pieces in the next two, their pairs by place,
     # and the pairs with the number of documents that hold them.
     ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("times", pa.list_(pa.int64())),
@@ -306,7 +307,7 @@ _CHUNKS = pa.schema([
 ])
 _CHUNK_DDL = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pieces array<int>, "
-    "often array<int>, ends array<int>, places array<int>, times array<long>, pairs array<long>, docs array<int>"
+    "often array<tinyint>, ends array<int>, places array<int>, times array<long>, pairs array<long>, docs array<int>"
 )
 
 
@@ -315,6 +316,29 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
+def in_steps(doc: np.ndarray, piece: np.ndarray, often: np.ndarray, n: int):
+    """Rising pieces of each document as steps, counts of at most 127 (a step of 0 goes on with
+    the same piece), and the number of steps of each document."""
+    more = (often + 126) // 127
+    ends = np.cumsum(more)
+    at = np.repeat(np.arange(len(piece)), more)
+    counts = np.full(len(at), 127)
+    counts[ends - 1] = often - 127 * (more - 1)
+    doc, piece = doc[at], piece[at]
+    steps = piece.copy()
+    steps[1:] -= piece[:-1]
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    steps[first] = piece[first]
+    return steps, counts, np.bincount(doc, minlength=n)
+
+
+def from_steps(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    places = np.cumsum(steps)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return places - np.repeat(places[starts] - steps[starts], sizes[sizes > 0])
+
+
 def chunk_rows(aligner: Aligner, chunk: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
     """Rows of the documents of a chunk and, last, of its dictionary."""
     numbers = aligner.numbers(texts)
@@ -341,12 +365,12 @@ def chunk_rows(aligner: Aligner, chunk: int, ids: pa.Array, texts: list[str | No
     at = np.repeat(ends[own_piece] - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
     holds = np.unique(np.repeat(own_doc, held) * max(1, len(pairs)) + places[at])
     docs = np.bincount(holds % max(1, len(pairs)), minlength=len(pairs))
-    per_doc = np.bincount(own_doc, minlength=n)
+    steps, often, per_doc = in_steps(own_doc, own_piece, often, n)
     none = pa.nulls(n)
     documents = [
         pa.array(np.full(n, chunk)), ids.cast(pa.int64()), *(pa.array(counts[:, c]) for c in range(4)),
         pa.array([aligner.digest(p) if len(p) else "" for p in numbers], pa.string()),
-        _lists(own_piece, per_doc, pa.int32()), _lists(often, per_doc, pa.int32()),
+        _lists(steps, per_doc, pa.int32()), _lists(often, per_doc, pa.int8()),
         *(none.cast(f.type) for f in list(_CHUNKS)[9:]),
     ]
     dictionary = [[chunk], [None], [None], [None], [None], [None], [None], [None], [None], [ends], [places], [aligner.times[links]], [pairs], [docs]]
@@ -406,7 +430,8 @@ def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
         weights.append(_per_row(by_pair[places] * times, np.diff(ends)))  # of each piece
     pieces, often = (docs.column(c).combine_chunks() for c in ("pieces", "often"))
     sizes = np.asarray(pieces.value_lengths()).astype(np.int64)
-    pieces, often = np.asarray(pieces.flatten()), np.asarray(often.flatten()).astype(np.int64)
+    pieces = from_steps(np.asarray(pieces.flatten()).astype(np.int64), sizes)
+    often = np.asarray(often.flatten()).astype(np.int64)
     extra = [pa.array(_per_row(w[pieces] * often, sizes)) for w in weights]
     columns = [docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
     return pa.Table.from_arrays([*columns, *extra, docs.column("groups_sha256")], schema=_OUT)

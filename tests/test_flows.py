@@ -13,8 +13,8 @@ from tidewatch.operators.flows import (
 from tidewatch.operators import states as S
 from tidewatch.operators.states import state_dimensions, window_states
 from tidewatch.schemas import FLOW_COLUMNS
-from tidewatch.sources.flow_csv import header_of, read_flow_csv, read_flows
-from tidewatch.sources.sinks import select_fields, write_captures
+from tidewatch.sources.flow_csv import captured, header_of, read_capture_rows, read_flow_csv, read_flows
+from tidewatch.sources.sinks import select_fields, store_capture_rows, write_captures
 
 FEATURES = ["Dst Port", "Protocol", "Flow IAT Mean", "CWE Flag Count", "Idle Mean"]
 TEXT = "capture_id string, timestamp string, dst_port string, protocol string, `Flow IAT Mean` string, cwr_flag_count string, note string"
@@ -165,11 +165,38 @@ def test_captures_merge_and_stay_apart(spark, tmp_path):
     merged = read_flows(spark, folder=str(tmp_path / "x"), merge=True)
     rows = {tuple(r) for r in merged.select("capture_id", "a", "b", "c").collect()}
     assert rows == {("one.csv", "1", "2", None), ("two.csv", "3", "4", None), ("three.csv", "5", None, "6")}
-    assert len(read_flows(spark, folder=str(tmp_path / "x"))) == 2
+    apart = read_flows(spark, folder=str(tmp_path / "x"))
+    assert {tuple(t.columns): {tuple(r) for r in t.collect()} for t in apart} == {
+        ("capture_id", "a", "b"): {("one.csv", "1", "2"), ("two.csv", "3", "4")},
+        ("capture_id", "a", "c"): {("three.csv", "5", "6")},
+    }
     with pytest.raises(ValueError, match="folder"):
         read_flows(spark, file="one.csv", merge=True)
 
 
+def test_unlike_captures_in_one_table(spark, tmp_path):
+    """Any headers: other orders, odd names, repeated names, short lines, quoted commas."""
+    write(tmp_path / "x" / "one.csv", "a,b\n1,2\n7\n")
+    write(tmp_path / "x" / "y" / "two.csv", 'b,a.b,it\'s,a,a\n3,4,5,"6,x",8\n')
+    write(tmp_path / "x" / "none.csv", "")
+    rows = read_capture_rows(spark, str(tmp_path / "x"))
+    assert rows.columns == ["capture_id", "flow"]
+    got = {tuple(r) for r in rows.select("capture_id", F.to_json("flow")).collect()}
+    assert got == {
+        ("one.csv", '{"a":"1","b":"2"}'), ("one.csv", '{"a":"7","b":null}'),
+        ("two.csv", '{"a":"6,x","a.1":"8","a.b":"4","b":"3","it\'s":"5"}'),
+    }
+    store_capture_rows(rows, str(tmp_path / "out"))
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"capture_id=one.csv", "capture_id=two.csv"}
+    again = spark.read.parquet(str(tmp_path / "out")).select(
+        captured("a", "int"), captured("a.b", "int"), captured("it's", "int"), captured("absent"), captured("b", "int")
+    )
+    assert {tuple(r) for r in again.collect()} == {(1, None, None, None, 2), (7, None, None, None, None), (None, 4, 5, None, 3)}
+    write(tmp_path / "x" / "two.csv", "a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="too many fields"):
+        read_capture_rows(spark, str(tmp_path / "x")).collect()
+
+
 def test_fields_subset(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert select_fields(df, "c,a").columns == ["c", "a"]

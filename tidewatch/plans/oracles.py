@@ -500,6 +500,10 @@ SELECT event_id FROM (SELECT *, max(t) OVER (ORDER BY seq ROWS BETWEEN CURRENT R
   round(x3, 3) AS packets FROM flows""",
     "flow_csv_merge": f"""SELECT count(*) AS flows, count(*) FILTER (user_id % 2 = 0) AS with_cwr,
   CAST(sum({PORT}) AS BIGINT) AS ports FROM events""",
+    "flow_csv_captures": f"""SELECT event_id, CAST({PORT} AS BIGINT) AS dst_port,
+  CASE WHEN event_id % 3 <> 1 THEN event_id % 3 END AS cwr,
+  CASE WHEN event_id % 3 = 2 THEN 'x, y' END AS label,
+  CAST([8, 7, 9][event_id % 3 + 1] AS INTEGER) AS cells FROM events""",
     "retention_report": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT hour(ts)) AS
   slots FROM events WHERE {_SLOT_ENDS} < {_LIMIT} GROUP BY 1""",
     "retention_clean": f"""SELECT count(*) FILTER ({_SLOT_ENDS} >= {_LIMIT}) AS events,

@@ -763,6 +763,29 @@ def flow_csv_merge(spark, sf_dir):
     )
 
 
+@query
+def flow_csv_captures(spark, sf_dir):
+    """Captures of three unlike headers in one read, kept as one output each and read back."""
+    folder, kept = _scratch(spark, "flow-csv"), _scratch(spark, "captures")
+    flows = ad.narrow_flows(spark, sf_dir).drop("capture_id").withColumn("timestamp", _at("timestamp"))
+    unlike = (
+        flows,
+        flows.drop("cwr_flag_count"),
+        flows.select(*flows.columns[::-1], F.lit("x, y").alias("Label")).withColumnRenamed("dst_port", "Dst Port"),
+    )
+    for i, part in enumerate(unlike):
+        part.filter(F.col("event_id") % 3 == i).write.csv(f"{folder}/{i}", header=True)
+    sinks.store_capture_rows(flow_csv.read_capture_rows(spark, folder), kept)
+    port = F.coalesce(flow_csv.captured("dst_port", "bigint"), flow_csv.captured("Dst Port", "bigint"))
+    return spark.read.parquet(kept).select(
+        flow_csv.captured("event_id", "bigint").alias("event_id"),
+        port.alias("dst_port"),
+        flow_csv.captured("cwr_flag_count", "bigint").alias("cwr"),
+        flow_csv.captured("Label").alias("label"),
+        F.size(F.json_object_keys(F.to_json("flow"))).alias("cells"),
+    )
+
+
 RETAINED_TO = 1705449600.0  # 2024-01-17
 
 

@@ -64,10 +64,10 @@ def distinct_headers(headers: DataFrame) -> dict[str, list[str]]:
     return {line: _named(next(csv.reader([line]))) for line in found}
 
 
-def _by_own_header(
+def _cut_by_own_header(
     lines: DataFrame, headers: DataFrame, known: dict[str, list[str]]
 ) -> DataFrame:
-    """Flows of files with different headers, each cut by the header of its own file."""
+    """capture_id, _which (number of the header of the line's file, from 1) and _cells."""
     width = max(map(len, known.values()))
     which = F.array_position(F.array(*map(F.lit, known)), F.col("_header")).cast("int")
     place = broadcast_if_small(headers).withColumn("_which", which).drop("_header")
@@ -81,7 +81,14 @@ def _by_own_header(
     fault = F.raise_error(F.concat(F.lit("too many fields in line: "), F.col("_line")))
     rows = rows.filter(F.when(too_long, fault.cast("boolean")).otherwise(True))
     shape = ", ".join(f"c{i} string" for i in range(width))
-    rows = computed_once(rows, "_cells", F.from_csv("_line", shape))
+    return computed_once(rows, "_cells", F.from_csv("_line", shape)).select("capture_id", "_which", "_cells")
+
+
+def _by_own_header(
+    lines: DataFrame, headers: DataFrame, known: dict[str, list[str]]
+) -> DataFrame:
+    """Flows of files with different headers, each cut by the header of its own file."""
+    rows = _cut_by_own_header(lines, headers, known)
 
     def column(name: str) -> Column:
         cells = [
@@ -148,20 +155,54 @@ def read_flow_csv(
 CAPTURES = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
 
 
+def _unlike(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Rows (capture_id, _which, flow) of all captures below a folder, and their headers."""
+    lines = _lines(spark, [folder], **CAPTURES)
+    headers = file_headers(lines)
+    known = distinct_headers(headers)
+    if not known:
+        raise FileNotFoundError(f"no line in {folder}")
+    rows = _cut_by_own_header(lines, headers, known)
+    names = F.get(F.array(*[F.array(*map(F.lit, n)) for n in known.values()]), F.col("_which") - 1)
+    cells = F.array(*[F.col(f"_cells.c{i}") for i in range(max(map(len, known.values())))])
+    own = F.map_from_arrays(names, F.slice(cells, F.lit(1), F.size(names)))
+    return rows.select("capture_id", "_which", F.to_variant_object(own).alias("flow")), known
+
+
+def read_capture_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures of any headers in one table: capture_id, and flow, a VARIANT object.
+
+    A flow has the columns of its own file as texts, with null for what a short line lacks;
+    nothing is filled in for columns that only other files have. However many different
+    headers there are, the files are read once for the headers and once for the lines.
+    """
+    return _unlike(spark, folder)[0].drop("_which")
+
+
+def captured(name: str, kind: str = "string", flow: str = "flow") -> Column:
+    """A column of the flows of :func:`read_capture_rows`; null if absent or not of that kind."""
+    if "'" in name:
+        return F.try_element_at(F.col(flow).cast("map<string,string>"), F.lit(name)).try_cast(kind)
+    return F.try_variant_get(flow, f"$['{name}']", "string").try_cast(kind)
+
+
 def read_captures(
     spark: SparkSession, folder: str, merge: bool = False
 ) -> DataFrame | list[DataFrame]:
     """All captures below a folder: one table if merged, else one table per header.
 
     ``capture_id`` tells the files apart in either form; merged tables get null for columns
-    a file lacks.
+    a file lacks. Unmerged, the lines are cut once into a written table; its row groups come
+    from one file each, so the table of a header reads its own groups only.
     """
     if merge:
         return read_flow_csv(spark, folder, **CAPTURES)
-    lines = _lines(spark, [folder], **CAPTURES)
-    headers = file_headers(lines)
-    known = distinct_headers(headers)
-    return [_by_own_header(lines, headers, {line: names}) for line, names in known.items()]
+    rows, known = _unlike(spark, folder)
+    rows = written(rows, "captures")
+    return [
+        rows.filter(F.col("_which") == k).select("capture_id", *[captured(n).alias(n) for n in names])
+        for k, names in enumerate(known.values(), 1)
+    ]
 
 
 def read_flows(

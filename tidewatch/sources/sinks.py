@@ -66,3 +66,9 @@ def write_captures(
         kept.hint("rebalance", "capture_id").write.partitionBy("capture_id").csv(
             folder, header=True
         )
+
+
+def store_capture_rows(rows: DataFrame, folder: str) -> None:
+    """Captures of unlike headers (capture_id, flow), in one pass: one output below each
+    ``capture_id=``, with the columns of that capture."""
+    rows.hint("rebalance", "capture_id").write.partitionBy("capture_id").parquet(folder)

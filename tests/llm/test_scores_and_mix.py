@@ -138,6 +138,16 @@ def test_small_sources_meet_their_targets(spark):
     assert sum(len(r.text.split()) for r in shards) == sum(r.taken for r in got)
 
 
+def test_very_many_sources(spark):
+    """Sources are rows of a table: 3,000 of them, of 21 words each, within a word of their targets."""
+    docs = spark.range(9000).select(
+        F.col("id").alias("doc_id"), F.lit("a b c d e f g").alias("text"), F.concat(F.lit("s"), F.col("id") % 3000).alias("source")
+    )
+    got = mixed_words(docs).groupBy(F.col("doc_id") % 3000).agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
+    rows = got.collect()
+    assert len(rows) == 3000 and all(abs(r.taken - r.target) <= 1 for r in rows)
+
+
 @pytest.mark.parametrize("bloom", [Bloom(), Bloom(bits_per_url=1, max_blocks=1)])
 def test_url_filter(spark, bloom):
     urls = {

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import md5_int, running_start, table
-from tidewatch.plans.materialize import written
+from tidewatch.plans.materialize import broadcast_if_small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,79 +122,81 @@ def placed_documents(sized: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     rows = max(1, sized.count())
     digits = max(1, -(-(rows // mix.rows_per_chunk).bit_length() // 4))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    known = F.broadcast(plan.withColumnRenamed("source", "plan_source"))
+    known = broadcast_if_small(plan).withColumnRenamed("source", "plan_source")
     with_rank = sized.filter("size > 0").join(known, F.col("source").eqNullSafe(F.col("plan_source")))
     keyed = with_rank.withColumn("h", key).withColumn("chunk", F.substring("h", 1, digits))
     return running_start(keyed, ["rank"], "chunk", ["h", "doc_id", "size"], "size")
 
 
+def _ranges(rows: DataFrame, length: str) -> DataFrame:
+    """Add ``begin`` and ``end``: rows in the order of their rank, end to end, ``length`` long."""
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(length).over(before), F.lit(0))
+    return rows.withColumn("begin", begin).withColumn("end", F.col("begin") + F.col(length))
+
+
+def _owned(rows: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
+    """Rows beside the range (begin, end, more) that ``at`` lies in, if there is one.
+
+    Ranges are cut into buckets, about four for each, so that place meets range by equality.
+    """
+    n, top = ranges.filter("begin < end").agg(F.count(F.lit(1)), F.max("end")).first()
+    width = max(1, (top or 0) // (4 * n + 1))
+    cut = ranges.filter("begin < end").withColumn(
+        "_bucket", F.explode(F.expr(f"sequence(begin div {width}, (end - 1) div {width})"))
+    )
+    cut = broadcast_if_small(written(cut, "mix-ranges"))
+    placed = rows.withColumn("_at", F.expr(f"{at} div {width}"))
+    inside = (F.col("_at") == F.col("_bucket")) & (F.col(at) >= F.col("begin")) & (F.col(at) < F.col("end"))
+    return placed.join(cut, inside, "left").drop("_at", "_bucket", "begin", "end")
+
+
 def drawn_slots(plan: DataFrame, mix: Mix) -> DataFrame:
     """Rows (shard, slot, rank, block, pass, cut): which block stands in which slot, and up to
     how many of its words.
 
-    The plan has one row per source and is held as literals; nothing here depends on the
+    Sources are met as rows of tables, however many there are; nothing here depends on the
     number of documents but the range of slots.
     """
     spark = plan.sparkSession
-    rows = sorted(plan.collect(), key=lambda r: r["rank"])
-    quota = [r["quota"] for r in rows]
-    total = sum(quota)
-
-    def ends(values: list[int]) -> list[int]:
-        out, at = [], 0
-        for v in values:
-            out.append(at := at + v)
-        return out
-
-    def literal(values: list[int]) -> Column:
-        return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.expr("array(0L)")
-
-    def owner(at: Column, bounds: list[int]) -> Column:
-        return F.size(F.filter(literal(bounds), lambda b: b <= at))
-
-    def pick(values: list[int], rank: Column) -> Column:
-        return F.element_at(literal(values), rank.cast("int") + 1)
-
+    quotas = written(_ranges(plan.select("rank", "quota", "blocks", "last_words"), "quota"), "mix-quotas")
+    total = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     tasks = min(mix.most_tasks, total // mix.slots_per_task + 1)
     slots = spark.range(0, total, 1, max(tasks, spark.sparkContext.defaultParallelism)).select(
         F.expr(f"id div {mix.slots}").alias("shard"), F.expr(f"id % {mix.slots}").alias("slot")
     )
     draw = md5_int(F.concat_ws(":", F.lit(mix.seed), F.col("shard").cast("string"), F.col("slot").cast("string")), 15)
-    slots = slots.withColumn("rank", owner(draw % F.lit(max(1, total)), ends(quota)))
+    slots = _owned(slots.withColumn("draw", draw % F.lit(max(1, total))), "draw", quotas.select("rank", "begin", "end"))
     counts = written(
         slots.groupBy("shard", "rank").agg(F.sort_array(F.collect_list("slot")).alias("places"))
         .withColumn("n", F.size("places")).withColumn("chunk", F.expr("shard div 1024")),
         "mix-counts",
     )
-    drawn = {r["rank"]: r["n"] for r in counts.groupBy("rank").agg(F.sum("n").alias("n")).collect()}
-    got = [drawn.get(i, 0) for i in range(len(rows))]
-    surplus = [max(0, g - q) for g, q in zip(got, quota)]
-    missing = [max(0, q - g) for g, q in zip(got, quota)]
-    surplus_from = [e - v for e, v in zip(ends(surplus), surplus)]
-    missing_from = [e - v for e, v in zip(ends(missing), missing)]
+    drawn = counts.groupBy("rank").agg(F.sum("n").alias("got"))
+    sources = quotas.drop("begin", "end").join(drawn, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    sources = sources.withColumn("surplus", F.greatest(F.col("got") - F.col("quota"), F.lit(0)))
+    sources = sources.withColumn("missing", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
+    sources = _ranges(sources, "surplus").withColumnRenamed("begin", "surplus_from").drop("end")
+    sources = written(_ranges(sources, "missing"), "mix-sources")
+    known = broadcast_if_small(sources)
     started = running_start(counts, ["rank"], "chunk", ["shard"], "n")
     placed = started.repartition(tasks, "shard", "rank").select(
         "shard", "rank", "start", F.posexplode("places").alias("j", "slot")
     )
-    k = F.col("start") + F.col("j")
-    own = F.col("rank")
-    over = k - pick(quota, own) + pick(surplus_from, own)
-    placed = placed.withColumn("k", k).withColumn("over", F.when(k >= pick(quota, own), over))
-    placed = placed.withColumn(
-        "rank", F.when(F.col("over").isNull(), F.col("rank")).otherwise(owner(F.col("over"), ends(missing)))
-    )
-    placed = placed.withColumn(
-        "k",
-        F.when(F.col("over").isNull(), F.col("k")).otherwise(
-            pick(got, F.col("rank")) + F.col("over") - pick(missing_from, F.col("rank"))
-        ),
+    # What a source was drawn beyond its quota, one after the other, goes to those that lack.
+    placed = placed.join(known.select("rank", "quota", "surplus_from"), "rank").withColumn("k", F.col("start") + F.col("j"))
+    over = F.when(F.col("k") >= F.col("quota"), F.col("k") - F.col("quota") + F.col("surplus_from"))
+    takers = sources.select(
+        F.col("rank").alias("taker"), (F.col("got") - F.col("begin")).alias("taker_from"), "begin", "end"
     )
-    blocks = pick([r["blocks"] for r in rows], F.col("rank"))
-    placed = placed.withColumn("blocks", blocks).withColumn("pass", F.expr("k div blocks"))
+    placed = _owned(placed.withColumn("over", over).drop("quota", "surplus_from"), "over", takers)
+    placed = placed.withColumn("k", F.coalesce(F.col("taker_from") + F.col("over"), F.col("k")))
+    placed = placed.select("shard", "slot", F.coalesce("taker", "rank").alias("rank"), "k")
+    placed = placed.join(known.select("rank", "quota", "blocks", "last_words"), "rank")
+    placed = placed.withColumn("pass", F.expr("k div blocks"))
     key = F.concat_ws(":", F.lit(mix.seed), F.col("rank").cast("string"), F.col("pass").cast("string"))
     at = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), key, mix.rounds)
-    last = F.col("k") == pick(quota, F.col("rank")) - 1
-    words = F.when(last, pick([r["last_words"] for r in rows], F.col("rank"))).otherwise(F.lit(mix.block))
+    words = F.when(F.col("k") == F.col("quota") - 1, F.col("last_words")).otherwise(F.lit(mix.block))
     return placed.select("shard", "slot", F.col("rank").cast("long"), at.alias("block"), "pass", words.alias("cut"))
 
 
@@ -233,7 +235,7 @@ def mixed_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0)) + cut).cast("long").alias("taken"))
         .select(*kept, "taken")
     )
-    known = F.broadcast(plan.withColumnRenamed("source", "plan_source"))
+    known = broadcast_if_small(plan).withColumnRenamed("source", "plan_source")
     empty = sized.filter("size = 0").join(known, F.col("source").eqNullSafe(F.col("plan_source")))
     return taken.unionByName(empty.select(*kept, F.lit(0).cast("long").alias("taken")))
 

@@ -186,3 +186,49 @@ def test_broadcast_check_measures_rows(spark):
     wide = written(spark.range(20_000).select(F.lit("y" * 2_000).alias("v")), "wide")
     assert written_bytes(wide) < 1 << 20 and not fits_broadcast(wide, 1 << 20)
     assert fits_broadcast(wide.limit(0))
+
+
+def test_rotated_files_hold_many_blocks_and_read_on_their_own(spark):
+    """Files follow the number of lines, also where a block has one line; each is led by the
+    header that holds for it."""
+    from tidewatch.plans.queries import _rotated
+
+    heads = {0: "#path a\n#fields\tx\ty", 7: "#separator \\x7c\n#path b\n#fields |x|y"}
+    rows = [("f", b, b * 10 - 5 + i, line) for b, text in heads.items() for i, line in enumerate(text.split("\n"))]
+    rows += [("f", b, b * 10, f"{b}{'|' if b >= 7 else chr(9)}v") for b in range(20) if b != 7]
+    rows += [(None, 3, 30, "lost"), ("f", None, None, "lost")]
+    lines = spark.createDataFrame(rows, "file string, block bigint, pos bigint, value string")
+    for turns in (1, 2):
+        rotated = _rotated(lines, turns, per_file=4)
+        assert rotated.filter("value = 'lost'").count() == 2
+        known = rotated.filter("file = 'f' and block is not null")
+        assert known.select("turn", "part").distinct().count() <= 5 * turns
+        apart = known.select(F.concat_ws("-", "turn", "part").alias("file"), "block", "pos", "value")
+        got = {(r.path, r.rec["x"]) for r in zeek.parse_log(apart).collect()}
+        assert got == {("b" if b >= 7 else "a", str(b)) for b in range(20) if b != 7}
+
+
+def test_log_queries_write_few_files(spark, tmp_path):
+    from pathlib import Path
+
+    from tidewatch.plans.queries import QUERIES
+    from tidewatch.session import shared_dir
+
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("view", "click", "purchase", "signup", "error")]), (F.col("id") % 5 + 1).cast("int"))
+    # The first 40 in one block, so that each log begins there; then a block for each.
+    ids = [i if i < 40 else (i - 39) * 4096 for i in range(300)]
+    events = spark.range(300).select(
+        F.when(F.col("id") < 40, F.col("id")).otherwise((F.col("id") - 39) * 4096).alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 8).alias("user_id"), kinds.alias("event_type"),
+        F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    good = sum((i % 17 == 0) == (i % 19 == 0) for i in ids)
+    base = Path(shared_dir(spark))
+    for name, label, most in (("log_file_scan", "logs", 20), ("stream_event_log", "stream-logs", 20), ("stream_event_counts", "stream-counts", 40)):
+        before = set(base.glob(f"{label}-*"))
+        got = QUERIES[name](spark, str(tmp_path))
+        rows = got.count() if name == "stream_event_log" else got.agg(F.sum("events")).first()[0]
+        assert rows == good, name
+        (folder,) = set(base.glob(f"{label}-*")) - before
+        assert 0 < len(list(folder.rglob("log=*/part=*/part-*.txt"))) <= most, name

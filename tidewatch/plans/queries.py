@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import names as fnames
@@ -27,6 +27,7 @@ from tidewatch.operators.states import (
 )
 from tidewatch.plans import adapters as ad
 from tidewatch.plans import files
+from tidewatch.plans.materialize import broadcast_if_small, written
 from tidewatch.session import shared_dir
 from tidewatch.sources import flow_csv, scenario_store, sinks, zeek
 from tidewatch.sources.bundle import load_bundle, save_bundle
@@ -591,33 +592,50 @@ def event_sink(spark, sf_dir):
     return _event_rows(spark.read.option("recursiveFileLookup", "true").text(folder))
 
 
+#: Lines of one rotated log file, to which its last block may add.
+LINES_PER_FILE = 50_000
+
+
 def _write_logs(lines: DataFrame, folder: str) -> None:
-    """Log files of the adapter's lines: one per file and block, header first."""
-    whole = lines.withColumn("part", F.col("block").cast("string")).withColumnRenamed("file", "log")
-    ordered = whole.repartition("log", "part").sortWithinPartitions("log", "part", "pos")
+    """Log files of lines with their parts: one for each file and part."""
+    whole = lines.withColumnRenamed("file", "log")
+    ordered = whole.repartition("log", "part").sortWithinPartitions("log", "part", "block", "pos")
     ordered.select("log", "part", "value").write.partitionBy("log", "part").text(folder)
 
 
-def _with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of the logs, each block led by the header that holds for it, so that every
-    rotated file can be read on its own."""
-    lines = ad.log_lines(spark, sf_dir)
+def _rotated(lines: DataFrame, turns: int = 1, per_file: int = LINES_PER_FILE) -> DataFrame:
+    """Lines of logs and the rotated file (``turn``, ``part``) of each.
+
+    Blocks go to the turns one after another. A part is made of whole blocks until it has
+    ``per_file`` lines, so the number of files grows with the lines, however few a block has.
+    Each part is led by the header that holds for it, and a header that comes into force later
+    stands where it does, so that every rotated file can be read on its own.
+    """
     is_head = F.col("value").startswith("#")
     heads = lines.filter(is_head).withColumnRenamed("block", "head")
     body = lines.filter(~is_head)
-    blocks = body.select("file", "block").distinct()
+    before = Window.partitionBy("file", "turn").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = body.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("turn", F.pmod("block", F.lit(turns)))
+    part = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / per_file).cast("string")
+    parts = written(sizes.select("file", "block", "turn", part.alias("part")), "log-parts")
     holds = (
-        blocks.join(heads.select("file", "head").distinct(), "file")
-        .filter("head <= block").groupBy("file", "block").agg(F.max("head").alias("head"))
+        parts.join(heads.select("file", "head").distinct(), "file").filter("head <= block")
+        .groupBy("file", "turn", "part", "block").agg(F.max("head").alias("head"))
+        .groupBy("file", "turn", "part", "head").agg(F.min("block").alias("block"))
     )
-    return body.unionByName(holds.join(heads, ["file", "head"]).select(body.columns))
+    # A block without a file or a number has a part, too.
+    of = broadcast_if_small(parts.withColumnsRenamed({"file": "_file", "block": "_block"}))
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("block").eqNullSafe(F.col("_block"))
+    rows = body.join(of, same).drop("_file", "_block")
+    return rows.unionByName(holds.join(heads, ["file", "head"]).select(rows.columns))
 
 
 @query
 def log_file_scan(spark, sf_dir):
     """Logs written as text files and scanned as such, with header and body in one file."""
     folder = _scratch(spark, "logs")
-    _write_logs(_with_headers(spark, sf_dir), folder)
+    _write_logs(_rotated(ad.log_lines(spark, sf_dir)), folder)
     text = spark.read.option("recursiveFileLookup", "true").text(folder)
     records = zeek.parse_log(zeek.positioned(text))
     return normalize.all_events(records).groupBy("event_type").agg(
@@ -1026,7 +1044,7 @@ def stream_unique_ids(spark, sf_dir):
 def stream_event_log(spark, sf_dir):
     """Log files streamed into rotated events, read back."""
     base = _scratch(spark, "stream-logs")
-    _write_logs(_with_headers(spark, sf_dir), f"{base}/in")
+    _write_logs(_rotated(ad.log_lines(spark, sf_dir)), f"{base}/in")
     lines = stream_logs.log_stream(spark, f"{base}/in", "*.txt")
     stream_logs.start_log_stream(
         lines, f"{base}/out", f"{base}/checkpoint", available_now=True
@@ -1039,9 +1057,9 @@ def stream_event_log(spark, sf_dir):
 def stream_event_counts(spark, sf_dir):
     """Events written by a stream of log files that was stopped once, as its batches counted."""
     base = _scratch(spark, "stream-counts")
-    lines = _with_headers(spark, sf_dir)
-    for odd in (0, 1):
-        _write_logs(lines.filter(F.col("block") % 2 == odd), f"{base}/in/{odd}")
+    lines = _rotated(ad.log_lines(spark, sf_dir), turns=2)
+    for turn in (0, 1):
+        _write_logs(lines.filter(F.col("turn") == turn), f"{base}/in/{turn}")
         stream_logs.start_log_stream(
             stream_logs.log_stream(spark, f"{base}/in", "*.txt"),
             f"{base}/out", f"{base}/checkpoint", available_now=True, counts=f"{base}/counts",

@@ -232,3 +232,17 @@ def test_log_queries_write_few_files(spark, tmp_path):
         assert rows == good, name
         (folder,) = set(base.glob(f"{label}-*")) - before
         assert 0 < len(list(folder.rglob("log=*/part=*/part-*.txt"))) <= most, name
+
+
+def test_logs_that_begin_in_a_later_block_keep_their_lines(spark, tmp_path):
+    """Ssl lines after block 0 are piped; their header holds also where no ssl line is older."""
+    from tidewatch.plans import adapters as ad
+
+    ids = [0, 4096, 3 * 4096, 3 * 4096 + 4, 5 * 4096]
+    rows = [(i, u, "signup", 1.0, "{}") for u, i in enumerate(ids)] + [(5 * 4096 + 4, 1, "signup", 1.0, "{}")]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string")
+    at = F.timestamp_seconds(F.col("event_id") + 1_700_000_000).cast("timestamp_ntz")
+    events.withColumn("ts", at).write.parquet(f"{tmp_path}/events.parquet")
+    got = zeek.parse_log(ad.log_lines(spark, str(tmp_path))).collect()
+    good = [i for i, *_ in rows if (i % 17 == 0) == (i % 19 == 0)]
+    assert sorted(r.rec["uid"] for r in got) == sorted(f"C{i}" for i in good)

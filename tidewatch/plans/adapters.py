@@ -258,16 +258,17 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = base.select(
         file.alias("file"), "block", (F.col("event_id") * 2).alias("pos"), line.alias("value")
     )
-    # One header per file, from its first event on; a second one for ssl files.
+    # One header per file, from its first event on; a second one for ssl files, behind the first
+    # where the file begins with it.
     first = base.groupBy(file.alias("file"), "log").agg(F.min("block").alias("block"))
-    second = base.filter(piped).groupBy(file.alias("file"), "log").agg(F.lit(1).alias("block"))
-    tops = _header(first, "\t", "-").unionByName(_header(second, "|", "none"))
+    second = base.filter(piped).groupBy(file.alias("file"), "log").agg(F.min("block").alias("block"))
+    tops = _header(first, "\t", "-", 100).unionByName(_header(second, "|", "none", 50))
     lines = data.unionByName(tops).withColumn("block", F.col("block").cast("bigint"))
     # Read twice by the parser, as log files would be.
     return written(lines, "log-lines")
 
 
-def _header(files: DataFrame, separator: str, unset: str) -> DataFrame:
+def _header(files: DataFrame, separator: str, unset: str, ahead: int) -> DataFrame:
     names = " ".join(
         f"WHEN '{log}' THEN '{separator.join(LOG_COMMON + fields)}'"
         for log, fields in LOG_FIELDS.items()
@@ -287,6 +288,6 @@ def _header(files: DataFrame, separator: str, unset: str) -> DataFrame:
     return files.select("file", "block", top).select(
         "file",
         "block",
-        (F.col("block") * 2 * BLOCK_EVENTS - 100 + F.col("n")).cast("bigint").alias("pos"),
+        (F.col("block") * 2 * BLOCK_EVENTS - ahead + F.col("n")).cast("bigint").alias("pos"),
         "value",
     )
